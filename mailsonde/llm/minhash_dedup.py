@@ -5,8 +5,8 @@ shingles, and coordinate k is the least value of pi(sigma(x) + k), that is, pi s
 
 The bands' buckets are never expanded into all pairs. In each bucket every member is first held against one centre: the
 member that meets most others over all bands, for a base text and its variants nearly always the base. Exact checks on
-these links give components; only pairs of a bucket whose ends are then still in different components, and which set
-sizes allow, are checked as well. So every pair that shares a bucket is checked, or its ends are known to be connected.
+these links give components. Buckets that then still hold different components are compared in chunks, which return
+only what joins components. So every pair that shares a bucket is checked, or its ends are known to be connected.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .graph import components
 
 #: At a Jaccard similarity of 0.8 a pair shares no band with a chance of 7e-6, at 0.9 of 1e-12.
 BANDS, ROWS = 30, 5
+#: Shingles of a chunk of a bucket.
+GROUP = 400_000
 _C1, _C2, _C3, _C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _U33, _U31 = np.uint64(33), np.uint64(31)
 
@@ -147,6 +149,52 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def links_within(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect different components k of the same bucket, for buckets (key, rep, n, k, chunks).
+
+    A bucket is dealt into chunks of about GROUP shingles, and each pair of its chunks is compared by one task, on full
+    sets: every pair of documents of different components is checked. Of the links it finds a task returns those that
+    join components it has not joined yet, so its rows are fewer than its documents.
+    """
+    dealt = buckets.withColumn("c", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    # Chunk c takes part in the pairs (c, j) and (i, c).
+    others = F.sequence(F.lit(0), F.col("chunks") - 1)
+    dealt = dealt.select("key", "rep", "k", "c", F.explode(others).alias("o"))
+    dealt = dealt.select("key", "rep", "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    # Sets join last, and only for pairs of chunks that hold different components.
+    useful = dealt.groupBy("key", "i", "j").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("key", "i", "j")
+    rows = dealt.join(useful, ["key", "i", "j"]).join(sets, F.col("rep") == sets["id"]).select("key", "i", "j", "rep", "k", "s")
+
+    def compare(table: pa.Table) -> pa.Table:
+        reps, ks = np.asarray(table["rep"]), np.asarray(table["k"])
+        each = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
+        sizes = np.array([len(x) for x in each])
+        starts = np.cumsum(sizes) - sizes
+        values, index = np.unique(np.concatenate(each), return_inverse=True)
+        names, own, counts = np.unique(ks, return_inverse=True, return_counts=True)
+        root, out, mark = list(range(len(names))), [], np.zeros(len(values), bool)
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x in np.flatnonzero(own != counts.argmax()):  # the largest component's members are met by all others
+            mine = index[starts[x] : starts[x] + sizes[x]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[index], starts, dtype=np.int64)
+            mark[mine] = False
+            for y in np.flatnonzero((100 * both >= percent * (sizes + sizes[x] - both)) & (own != own[x])):
+                p, q = find(own[x]), find(own[y])
+                if p != q:
+                    root[p] = q
+                    out.append((int(reps[x]), int(reps[y])))
+        cols = list(zip(*out, strict=True)) or [[], []]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, by_letters: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 
@@ -177,13 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = stored(components(links), "components")
 
     placed = members.join(found, members["rep"] == found["id"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("k"))
-    split = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("key")
-    open_rows = stored(placed.join(split, "key"), "open")
-    x = open_rows.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
-    y = open_rows.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-    fit = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb"))
-    more = x.join(y, "key").where(fit).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(stored(more, "other-pairs"), sets, percent), "more-links")
+    split = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.ceil(F.sum("n") / GROUP).cast("int").alias("chunks")).where("lo < hi").select("key", "chunks")
+    more = stored(links_within(placed.join(split, "key"), sets, percent), "more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
