@@ -125,10 +125,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", dr
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs with hit words cut out of the text: the words that stay, with whatever stood before each of them."""
     numbered, spans = find_hits(docs, benchmark, text, **how)
-    joined = numbered.join(spans.select("__row", "spans"), "__row")
+    joined = numbered.join(spans.select("__row", F.col("spans").alias("__spans")), "__row")
     # Each word with the characters before it, in the text as it was; what follows the last word is kept.
     parts = F.regexp_extract_all(F.col(text), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    left = F.filter(parts, lambda _, i: ~F.exists("spans", lambda s: (i >= s["at"]) & (i < s["stop"])))
+    left = F.filter(parts, lambda _, i: ~F.exists("__spans", lambda s: (i >= s["at"]) & (i < s["stop"])))
     tail = F.regexp_extract(F.col(text), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    cut = F.when(F.size("spans") > 0, F.concat(F.array_join(left, ""), tail)).otherwise(F.col(text))
+    cut = F.when(F.size("__spans") > 0, F.concat(F.array_join(left, ""), tail)).otherwise(F.col(text))
     return joined.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -116,7 +116,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Every row is kept, a text wholly repeated becomes empty. Other columns are left alone.
     """
-    found = stored(repeated_passages(docs, id_col, text, **how), "repeats").withColumnRenamed("id", "__id")
+    found = repeated_passages(docs, id_col, text, **how).select(F.col("id").alias("__id"), F.struct("covered", "sources").alias("__found"))
+    found = stored(found, "repeats")
 
     def clean(t: bytes | None, covered) -> tuple[int, int, bytes]:
         if t is None:
@@ -130,5 +131,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pd.DataFrame([clean(a, b) for a, b in zip(t, covered, strict=True)], columns=["n_sentences", "n_removed", "text"])
 
     joined = docs.join(found, docs[id_col].cast("long") == found["__id"], "left")
-    x = apply(F.col(text).cast("binary"), "covered")
-    return joined.withColumn("__x", x).withColumn("repeats", F.struct("__x.n_sentences", "__x.n_removed", F.coalesce("sources", F.array().cast("array<long>")).alias("sources"), F.col("__x.text").alias("text"))).select(*docs.columns, "repeats")
+    joined = joined.withColumn("__x", apply(F.col(text).cast("binary"), "__found.covered"))
+    sources = F.coalesce("__found.sources", F.array().cast("array<long>"))
+    return joined.select(*[docs[c] for c in docs.columns if c != "repeats"], F.struct("__x.n_sentences", "__x.n_removed", sources.alias("sources"), F.col("__x.text").alias("text")).alias("repeats"))
