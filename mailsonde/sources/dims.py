@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +47,9 @@ def read_suites(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    """(domain, mode) from JSON: a list of objects, an object of objects, or an object of modes."""
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), "value")
-    listed = F.from_json("value", "array<struct<domain:string,mode:string>>")
-    nested = F.map_entries(F.from_json("value", "map<string,struct<mode:string>>"))
-    flat = F.map_entries(F.from_json("value", "map<string,string>"))
-    rows = F.when(F.startswith(F.trim("value"), F.lit("[")), F.transform(listed, lambda x: F.struct(x["domain"].alias("domain"), x["mode"].alias("mode")))).otherwise(
-        F.transform(F.arrays_zip(nested, flat), lambda x: F.struct(x["0"]["key"].alias("domain"), F.coalesce(x["0"]["value"]["mode"], x["1"]["value"]).alias("mode")))
-    )
-    return raw.select(F.explode(rows).alias("r")).select(domain(F.col("r.domain")).alias("domain"), F.lower("r.mode").alias("mode"))
+    """(domain, mode) from one configuration file: a list of objects, an object of objects, or an object of modes."""
+    found = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    if isinstance(found, dict):
+        found = [{"domain": k, **(v if isinstance(v, dict) else {"mode": v})} for k, v in found.items()]
+    rows = spark.createDataFrame([(r["domain"], r["mode"]) for r in found], "domain string, mode string")
+    return rows.select(domain(F.col("domain")).alias("domain"), F.lower("mode").alias("mode"))

@@ -62,7 +62,7 @@ def running_timing(stream: DataFrame, keys: list[str], ts: str = "first_seen", f
         state.update((n, gaps, mean, m2, last))
         state.setTimeoutTimestamp(max(int((last + forget) * 1000), state.getCurrentWatermarkMs() + 1))
         dev = (m2 / (gaps - 1)) ** 0.5 if gaps > 1 else 0.0
-        yield pd.DataFrame([[*key, n, gaps, mean if gaps else None, dev / mean if gaps and mean else None, last]])
+        yield pd.DataFrame([[*key, n, gaps, mean if gaps else None, dev / mean if gaps and mean else None, last]], columns=[*keys, *(x.strip().split(" ")[0] for x in BEACON.split(","))])
 
     return stream.groupBy(*keys).applyInPandasWithState(step, schema, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
