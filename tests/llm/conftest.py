@@ -3,8 +3,6 @@ import random
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-VOCABULARY = [a + b for a in ("ba", "ko", "tri", "mel", "sha", "un") for b in ("ra", "ti", "lo", "né", "x1")]
-
 
 @pytest.fixture
 def rnd():
@@ -24,7 +22,3 @@ def make(spark):
         return df
 
     return build
-
-
-def prose(rnd, n, words=VOCABULARY):
-    return " ".join(rnd.choice(words) for _ in range(n))

@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import prose
+from texts import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import prose  # noqa: F401
+from texts import prose
 
 from mailsonde.llm import decontaminate, html_extract, licenses, queries, substring_dedup, toxicity
 from mailsonde.llm.common import words
