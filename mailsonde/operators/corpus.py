@@ -14,8 +14,15 @@ CLEAN_STATES = ("S3_STARTTLS_OK", "S4_TLS_READY", "S4_ENCRYPTED", "S3_TLS_HS")
 ABSENT_STATES = ("S1_BANNER_SEEN", "S_NO_STARTTLS", "S1_GREETING")
 
 
-def first_ids(ids: Column, n: int = 10) -> Column:
-    return F.slice(F.array_sort(F.collect_list(ids)), 1, n)
+def first_ids(rows: DataFrame, keys, kinds: dict[str, Column], ident: str = "id", n: int = 10) -> DataFrame:
+    """(keys, one array a kind) of the n smallest ids of each kind's rows.
+
+    Only the first n rows of each group and kind pass the shuffle: the plan limits groups before it, however large.
+    """
+    kind = F.coalesce(*[F.when(c, name) for name, c in kinds.items()])
+    x = rows.select(*keys, F.col(ident).alias("__id"), kind.alias("__kind")).where("__kind is not null")
+    x = x.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__kind").orderBy("__id"))).where(F.col("__r") <= n)
+    return x.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("__kind") == k, F.col("__id")))).alias(k) for k in kinds])
 
 
 def with_gaps(sessions: DataFrame, keys, ts: str = "first_seen", tie: str = "id") -> DataFrame:
@@ -64,9 +71,9 @@ def capability_asymmetry(sessions: DataFrame, keys=("server_ip", "server_port"),
     """Servers that offer an upgrade in some sessions and not in others."""
     clean = F.col("starttls_state").isin(*CLEAN_STATES) if clean is None else clean
     absent = F.col("starttls_state").isin(*ABSENT_STATES) if absent is None else absent
-    only = lambda c: F.when(c, F.col("id"))
-    g = sessions.groupBy(*keys).agg(F.count_if(clean).alias("n_clean"), F.count_if(absent).alias("n_absent"), F.min(only(absent)).alias("primary_id"), first_ids(only(clean)).alias("clean_ids"), first_ids(only(absent)).alias("absent_ids"))
-    return g.where("n_clean > 0 and n_absent > 0")
+    g = sessions.groupBy(*keys).agg(F.count_if(clean).alias("n_clean"), F.count_if(absent).alias("n_absent"), F.min(F.when(absent, F.col("id"))).alias("primary_id"))
+    ids = first_ids(sessions, keys, {"clean_ids": clean, "absent_ids": absent})
+    return g.where("n_clean > 0 and n_absent > 0").join(ids, list(keys))
 
 
 def banner_mutations(sessions: DataFrame, distance: int = 8, keys=("server_ip", "server_port"), banner: str = "server_banner") -> DataFrame:
