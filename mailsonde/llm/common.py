@@ -51,6 +51,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, like: DataFrame | None = None, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it (or the stored table `like`, of as many rows) has at most `rows` rows; else the planner's choice."""
+    return F.broadcast(df) if (df if like is None else like).limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

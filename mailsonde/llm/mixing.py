@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, broadcast_if_small, stored
 
 BUCKETS = 4096
 
@@ -49,11 +49,12 @@ def sampled(sizes: DataFrame, targets: DataFrame, seed: int = 42, buckets: int =
     Every document of a source is taken floor(target / source_size) times; the rest of the target is filled by whole
     documents in the order of a seeded hash of their ids, up to the one whose middle crosses it, so that the sum misses
     the target by half a document at most. Sums by (source, bucket of the hash) find the crossing bucket, and only its
-    rows are put in order: no source is ever gathered, however hot. sizes must be a table that reads alike each time.
+    rows are put in order: no source is ever gathered, however hot. sizes and targets must be stored tables.
     """
     u = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     rows = sizes.withColumn("u", u).withColumn("bucket", F.conv(F.substring("u", 1, 3), 16, 10).cast("int"))
     goal = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    base = targets
     targets = targets.withColumn("whole", goal.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     by = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
@@ -61,7 +62,7 @@ def sampled(sizes: DataFrame, targets: DataFrame, seed: int = 42, buckets: int =
     cross = by.withColumn("upto", upto).alias("b").join(targets.alias("t"), same).where("upto > rest")
     cross = cross.groupBy("b.source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
     targets = targets.alias("t").join(cross.alias("x"), F.col("t.source").eqNullSafe(F.col("x.source")), "left").select("t.*", F.col("c.bucket").alias("at"), F.col("c.before").alias("before"))
-    full = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "whole", "rest", "at", "before")
+    full = rows.alias("r").join(broadcast_if_small(targets, base).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "whole", "rest", "at", "before")
     edge = full.where("bucket = at")
     run = F.sum("size").over(Window.partitionBy("source").orderBy("u", F.asc_nulls_last("id"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = edge.withColumn("extra", (F.col("before") + run - F.col("size") / 2 <= F.col("rest")).cast("int"))
