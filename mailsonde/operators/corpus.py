@@ -25,10 +25,18 @@ def first_ids(rows: DataFrame, keys, kinds: dict[str, Column], ident: str = "id"
     return x.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("__kind") == k, F.col("__id")))).alias(k) for k in kinds])
 
 
-def with_gaps(sessions: DataFrame, keys, ts: str = "first_seen", tie: str = "id") -> DataFrame:
-    """sessions with `gap`: seconds since the group's row before."""
-    order = Window.partitionBy(*keys).orderBy(ts, tie)
-    return sessions.withColumn("gap", F.col(ts) - F.lag(ts).over(order))
+def with_gaps(sessions: DataFrame, keys, ts: str = "first_seen", tie: str = "id", span: float = 86_400.0) -> DataFrame:
+    """sessions with `gap`: seconds since the group's row before.
+
+    A group is cut into spans of time, so that one with a large share of all rows is the work of many tasks: rows look
+    back within their span, and the first of a span at the end of the group's span before, from one row a span.
+    """
+    cut = F.floor(F.col(ts) / F.lit(span))
+    ends = sessions.groupBy(*keys, cut.alias("__span")).agg(F.max(ts).alias("__end"))
+    ends = ends.select(*keys, "__span", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__span")).alias("__before"))
+    order = Window.partitionBy(*keys, "__span").orderBy(ts, tie)
+    rows = sessions.withColumn("__span", cut).withColumn("__last", F.lag(ts).over(order))
+    return rows.join(ends, [*keys, "__span"], "left").withColumn("gap", F.col(ts) - F.coalesce("__last", "__before")).select(*[sessions[c] for c in sessions.columns], "gap")
 
 
 def beacon_groups(sessions: DataFrame, max_cov: float = 0.30, least: int = 5, keys=GROUP) -> DataFrame:
