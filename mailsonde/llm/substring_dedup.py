@@ -60,8 +60,8 @@ def runs(parts: list[tuple[int, int, list[bytes]]], k: int = SENTENCES, least: i
 def repeated_runs(docs: DataFrame, id_col: str, text: str, k: int, least: int, long: int) -> DataFrame:
     """(id, first, count, src) of runs that are not the first of their kind; src is the document of the first.
 
-    A run's first place is the least (id, sentence). Runs are named by 128-bit hashes; counts and first places are
-    combined before they are shuffled.
+    A run's first place is the least (id, sentence): a document knows which of its own runs come again, and the least
+    id is told by an aggregate that is combined before it is shuffled. Runs are named by 128-bit hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,40 +69,39 @@ def repeated_runs(docs: DataFrame, id_col: str, text: str, k: int, least: int, l
 
         name = xxhash.xxh3_128_digest
         for b in batches:
-            ids, firsts, counts, h = [], [], [], []
+            ids, firsts, counts, again, h = [], [], [], [], []
             for d, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if d is None or not t:
                     continue
+                seen: set[bytes] = set()
                 for i, n, x in runs(cut(t), k, least, long):
                     ids.append(d)
                     firsts.append(i)
                     counts.append(n)
-                    h.append(name(x))
+                    h.append(x := name(x))
+                    again.append(x in seen)
+                    seen.add(x)
                 if len(ids) > 50_000:
-                    yield made(ids, firsts, counts, h)
-                    ids, firsts, counts, h = [], [], [], []
+                    yield made(ids, firsts, counts, again, h)
+                    ids, firsts, counts, again, h = [], [], [], [], []
             if ids:
-                yield made(ids, firsts, counts, h)
+                yield made(ids, firsts, counts, again, h)
 
-    def made(ids, firsts, counts, h):
+    def made(ids, firsts, counts, again, h):
         x = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["id", "first", "count", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()), pa.array(again, pa.bool_()), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["id", "first", "count", "again", "h1", "h2"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "id long, first int, count int, h1 long, h2 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "id long, first int, count int, again boolean, h1 long, h2 long")
     rows = stored(rows, "runs")
     kinds = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("src")).where("n > 1").select("h1", "h2", "src")
-    # A kind's first place: in the document of smallest id, its first sentence there.
-    met = rows.join(kinds, ["h1", "h2"]).select("id", "first", "count", "h1", "h2", "src")
-    home = met.where("id = src").groupBy("h1", "h2").agg(F.min("first").alias("home"))
-    later = met.where("id > src").select("id", "first", "count", "src")
-    inside = met.where("id = src").join(home, ["h1", "h2"]).where("first > home").select("id", "first", "count", "src")
-    return later.unionByName(inside)
+    return rows.join(kinds, ["h1", "h2"]).where("id > src or again").select("id", "first", "count", "src")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: int = SENTENCES, least_words: int = WORDS, long_words: int = LONG) -> DataFrame:
     """Per id with repeated passages: covered (sentence numbers to remove), sources (ids that have them first).
 
-    Null ids and texts, and texts too short for a run, have none. Rows that share an id count as one document.
+    Null ids and texts, and texts too short for a run, have none. Rows that share an id are the same
+    document: they take nothing from each other.
     """
     rep = repeated_runs(docs, id_col, text, sentences, least_words, long_words)
     # Spans first, their sentences after: overlapping runs share most sentences.
