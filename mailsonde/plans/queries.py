@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import corpus, overview, profile, relational, search
+from ..functions.features import hashed, imputed
+from ..operators import corpus, decode, detectors, flow, governance, overview, profile, relational, search
+from ..sources import sinks
+from ..sources.adapters import packets_from_conversations
 from ..sources.tables import SESSIONS_SQL, epoch, sessions_from_events, table
 from . import rules
 
@@ -460,3 +463,140 @@ def anomaly_scores(spark, d):
     from ..operators.anomaly import anomaly_scores as scored
 
     return scored(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+# -- byte-level operators, over packets made from conversations
+
+
+@query("""SELECT conv_id, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'user'), '')) AS c2s_md5, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'user'), '')) AS s2c_md5,
+CAST(coalesce(sum(strlen(text)) FILTER (role = 'user'), 0) AS INTEGER) AS c2s_length, CAST(coalesce(sum(strlen(text)) FILTER (role <> 'user'), 0) AS INTEGER) AS s2c_length, true AS complete FROM conversations GROUP BY conv_id""")
+def reassemble_flows(spark, d):
+    """Headers, disorder, retransmissions and wrapping numbers: the rebuilt payloads are the conversation's texts."""
+    s = flow.sessions(packets_from_conversations(table(spark, d, "conversations")))
+    conv = F.regexp_extract("capture_id", r"(\d+)$", 1).cast("long")
+    return s.select(conv.alias("conv_id"), F.md5("c2s_payload").alias("c2s_md5"), F.md5("s2c_payload").alias("s2c_md5"), F.length("c2s_payload").alias("c2s_length"), F.length("s2c_payload").alias("s2c_length"), F.col("quality.complete").alias("complete"))
+
+
+@query()
+def decode_sessions(spark, d):
+    """Classification, dialogue, handshake and detectors over rebuilt flows."""
+    s = decode.decoded(flow.sessions(packets_from_conversations(table(spark, d, "conversations"))))
+    return detectors.detect(s).select("capture_id", F.col("cls.protocol").alias("protocol"), F.col("fsm.state").alias("state"), "protocol_version", F.array_join(F.transform("detections", lambda x: x["rule_id"]), ",").alias("detections"))
+
+
+FIRST_BYTES = "CASE doc_id % 5 WHEN 0 THEN '220 ' WHEN 1 THEN '+OK ' WHEN 2 THEN '* OK ' ELSE '' END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 25 WHEN 1 THEN 465 WHEN 2 THEN 995 ELSE 9999 END AS port, {FIRST_BYTES} AS pre FROM documents)
+SELECT doc_id, CASE pre WHEN '220 ' THEN 'SMTP' WHEN '+OK ' THEN 'POP3' WHEN '* OK ' THEN 'IMAP' ELSE CASE port WHEN 25 THEN 'SMTP' WHEN 465 THEN 'SMTP' WHEN 995 THEN 'POP3' ELSE 'UNKNOWN' END END AS protocol,
+CASE WHEN pre <> '' THEN 'EXPLICIT' ELSE CASE port WHEN 25 THEN 'EXPLICIT' WHEN 465 THEN 'IMPLICIT' WHEN 995 THEN 'IMPLICIT' ELSE 'UNKNOWN' END END AS mode, CASE WHEN pre <> '' THEN 'content' ELSE 'port' END AS detected_by, port <> 9999 AS port_is_standard FROM x""")
+def classify_first_bytes(spark, d):
+    """Greetings before documents' texts, on four ports."""
+    port = F.element_at(F.array(*map(F.lit, (25, 465, 995, 9999))), (F.col("doc_id") % 4 + 1).cast("int"))
+    first = F.concat(F.expr(FIRST_BYTES), F.lit("words")).cast("binary")
+    x = table(spark, d, "documents").select("doc_id", decode.classify(port, first, F.lit(b"")).alias("c"))
+    return x.select("doc_id", "c.*")
+
+
+TLS_LISTS = "[CAST(l_partkey % 65536 AS INTEGER), 2570, 4865, 49199] AS c, [0, 10, CAST(l_suppkey % 50 + 100 AS INTEGER), 16, 6682] AS x, [29, CAST(l_linenumber AS INTEGER)] AS g"
+NO_GREASE = "list_filter({0}, lambda v: NOT ((v & 3855) = 2570 AND (v >> 8) = (v & 255)))"
+
+
+def tls_lists(spark, d):
+    i = lambda c: c.cast("int")
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.array(i(F.col("l_partkey") % 65536), F.lit(2570), F.lit(4865), F.lit(49199)).alias("c"), F.array(F.lit(0), F.lit(10), i(F.col("l_suppkey") % 50 + 100), F.lit(16), F.lit(6682)).alias("x"), F.array(F.lit(29), i(F.col("l_linenumber"))).alias("g")
+    )
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, {TLS_LISTS} FROM lineitem)
+SELECT l_orderkey, l_linenumber, md5('771,' || array_to_string({NO_GREASE.format('c')}, '-') || ',' || array_to_string({NO_GREASE.format('x')}, '-') || ',' || array_to_string(g, '-') || ',0') AS ja3,
+md5('771,' || 49199 || ',' || array_to_string({NO_GREASE.format('x')}, '-')) AS ja3s FROM l""")
+def ja3_fingerprints(spark, d):
+    formats, v = F.array(F.lit(0)), F.lit(771)
+    return tls_lists(spark, d).select("l_orderkey", "l_linenumber", S.ja3(v, F.col("c"), F.col("x"), F.col("g"), formats).alias("ja3"), S.ja3s(v, F.lit(49199), F.col("x")).alias("ja3s"))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, {TLS_LISTS} FROM lineitem), k AS (SELECT *, {NO_GREASE.format('c')} AS cc, {NO_GREASE.format('x')} AS xx FROM l),
+h AS (SELECT *, array_to_string(list_sort(list_transform(cc, lambda v: printf('%04x', v))), ',') AS cn, array_to_string(list_sort(list_transform(list_filter(xx, lambda v: v <> 0 AND v <> 16), lambda v: printf('%04x', v))), ',') AS xn FROM k)
+SELECT l_orderkey, l_linenumber, 't13d' || lpad(CAST(len(cc) AS VARCHAR), 2, '0') || lpad(CAST(len(xx) AS VARCHAR), 2, '0') || 'sp_' || substr(sha256(cn), 1, 12) || '_' || substr(sha256(xn || '_0403,0804'), 1, 12) AS ja4 FROM h""")
+def ja4_fingerprints(spark, d):
+    x = S.ja4(F.lit(771), F.array(F.lit(772), F.lit(771)), F.col("c"), F.col("x"), F.array(F.lit(0x0403), F.lit(0x0804)), F.array(F.lit("smtp")), F.lit("mail.example.org"))
+    return tls_lists(spark, d).select("l_orderkey", "l_linenumber", x.alias("ja4"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_size * 200 AS b FROM part), n AS (SELECT *, b * 0.6931471805599453::DOUBLE AS n FROM x), s AS (SELECT *, (1.923::DOUBLE * pow(n, 1.0::DOUBLE / 3) * pow(ln(n), 2.0::DOUBLE / 3) - 4.69) / 0.6931471805599453::DOUBLE AS s FROM n)
+SELECT p_partkey, CAST(CASE WHEN b <= 512 THEN 56 WHEN b < 1024 THEN 64 WHEN b >= 15360 THEN 256 WHEN s >= 256 THEN 256 WHEN s >= 192 THEN 192 WHEN s >= 128 THEN 128 WHEN s >= 112 THEN 112 WHEN s >= 80 THEN 80 ELSE floor(s) END AS INTEGER) AS factoring,
+CAST(CASE WHEN b >= 512 THEN 256 WHEN b >= 384 THEN 192 WHEN b >= 256 THEN 128 WHEN b >= 224 THEN 112 WHEN b >= 160 THEN 80 ELSE b // 2 END AS INTEGER) AS curve FROM s""")
+def key_strengths(spark, d):
+    b = (F.col("p_size") * 200).cast("int")
+    return table(spark, d, "part").select("p_partkey", S.factoring_strength(b).alias("factoring"), S.curve_strength(b).alias("curve"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN sha256(p_name) = sha256(p_name) ELSE sha256(p_brand) = sha256(p_name) END AS matches FROM part""")
+def dane_match(spark, d):
+    data = F.sha2(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("p_brand")), 256)
+    return table(spark, d, "part").select("p_partkey", detectors.dane_match(F.lit(0), F.lit(1), data, F.col("p_name").cast("binary"), F.lit(b"")).alias("matches"))
+
+
+@query("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) AS host FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'INDETERMINATE' WHEN host LIKE '%.example.org' AND len(string_split(host, '.')) = 3 THEN 'MATCH' ELSE 'MISMATCH' END AS status, CASE page_id % 3 WHEN 0 THEN 'sni' WHEN 1 THEN 'ehlo' ELSE 'none' END AS method FROM h""")
+def hostname_verification(spark, d):
+    host, none = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:]+)", 1)), F.lit(None).cast("string")
+    pick = lambda k: F.when(F.col("page_id") % 3 == k, host)
+    r = detectors.hostname(F.array(F.lit("*.example.org")), F.array().cast("array<string>"), F.lit("CN=other"), pick(0), none, pick(1), none)
+    return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.status", "r.method")
+
+
+@query("""WITH @sessions, a AS (SELECT 'ip-src' AS type, client_ip AS value, risk_score FROM sessions UNION ALL SELECT 'ip-dst', server_ip, risk_score FROM sessions UNION ALL SELECT 'hostname', sni, risk_score FROM sessions UNION ALL SELECT 'ja3-fingerprint-md5', ja3, risk_score FROM sessions)
+SELECT type, value, bool_or(risk_score >= 60) AS to_ids FROM a WHERE value <> '' GROUP BY ALL""")
+def misp_attributes(spark, d):
+    return sinks.misp_attributes(sessions(spark, d)).select("type", "value", "to_ids")
+
+
+@query()
+def stix_objects(spark, d):
+    return sinks.stix_objects(sessions(spark, d))
+
+
+@query("""WITH @sessions, k AS (SELECT count(*) AS n, count(DISTINCT client_ip) AS c, count(DISTINCT server_ip) AS s, count(*) FILTER (starttls_state = 'S4_ENCRYPTED') AS e, count(*) FILTER (starttls_state = 'S_STRIP_DETECTED') AS st, count(*) FILTER (risk_score >= 80) AS cr FROM sessions)
+SELECT printf('%d sessions from %d clients to %d servers', n, c, s) AS sentence FROM k UNION ALL SELECT printf('%.1f%% of sessions are encrypted', round(e * 100.0::DOUBLE / n, 1)) FROM k WHERE e > 0 UNION ALL SELECT printf('%d sessions show a stripped upgrade', st) FROM k WHERE st > 0
+UNION ALL SELECT printf('%d sessions are critical', cr) FROM k WHERE cr > 0""")
+def executive_takeaways(spark, d):
+    return overview.takeaways(sessions(spark, d)).select("sentence")
+
+
+@query("""WITH @sessions, f AS (SELECT server_ip || ':' || server_port AS what, CAST(min(id) FILTER (starttls_state = 'S_NO_STARTTLS') AS VARCHAR) AS session_id FROM sessions GROUP BY server_ip, server_port),
+t AS (SELECT first_seen AS ts, 'finding' AS kind, what, session_id FROM f JOIN sessions ON CAST(id AS VARCHAR) = session_id UNION ALL SELECT * FROM (SELECT first_seen, 'strip', server_ip, CAST(id AS VARCHAR) FROM sessions WHERE starttls_state = 'S_STRIP_DETECTED' ORDER BY first_seen, id LIMIT 8))
+SELECT * FROM t ORDER BY ts DESC NULLS LAST, session_id, kind LIMIT 12""")
+def event_timeline(spark, d):
+    """The newest of findings (here the asymmetric servers) and stripped sessions."""
+    s = sessions(spark, d)
+    return search.timeline(corpus.corpus_findings(s, 0.0).where("rule_id = 'D1_CORPUS_CAPABILITY_STRIP'"), s)
+
+
+@query("SELECT doc_id, coalesce(CAST(quality AS DOUBLE), (SELECT quantile_cont(quality, 0.5) FROM labels)) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def median_imputation(spark, d):
+    x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return imputed(x.select("doc_id", F.col("quality").cast("double").alias("quality")), ["quality"])
+
+
+@query()
+def hashed_documents(spark, d):
+    """Token counts in 32 buckets by Spark's own hash; no other engine has it."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(hashed(F.col("p_name")), lambda x: F.round(x, 6).cast("string")), ",").alias("fp_hash"))
+
+
+@query("""WITH x AS (SELECT toxic AS y, least(1.0::DOUBLE, n_chars / 10000.0::DOUBLE) AS s FROM labels JOIN documents USING (doc_id)), t AS (SELECT CAST(i AS DOUBLE) / 10 AS threshold FROM range(1, 10) r(i)),
+g AS (SELECT threshold, count(*) FILTER (s >= threshold AND y = 1) AS tp, count(*) FILTER (s >= threshold AND y = 0) AS fp, count(*) FILTER (s < threshold AND y = 1) AS fn FROM x, t GROUP BY threshold)
+SELECT arg_max(threshold, (tp::DOUBLE / (tp + fp), threshold)) AS threshold FROM g WHERE tp + fp > 0 AND tp::DOUBLE / (tp + fn) >= 0.1""")
+def best_threshold(spark, d):
+    x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("toxic").alias("y"), F.least(F.lit(1.0), F.col("n_chars") / 10000.0).alias("s"))
+    return profile.best_threshold(profile.threshold_grid(x, "s", "y"), 0.1)
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY quality) AS INTEGER) AS n, quality FROM labels QUALIFY n = 1")
+def audit_latest(spark, d):
+    """An append log's latest entry per key, here by the key itself."""
+    x = governance.latest(table(spark, d, "labels").withColumn("at", -F.col("quality")), "doc_id", "at", "quality")
+    return x.select("doc_id", F.lit(1).alias("n"), "quality")
