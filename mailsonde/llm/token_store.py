@@ -12,12 +12,14 @@ on has its next chunk at the same rank in level 1, and so on. rank[j] counts the
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -108,43 +110,69 @@ def segment_bytes(docs: list[tuple[int | None, bytes]], bits: int = BITS) -> Ite
         yield rank.tobytes()
 
 
-#: A blank may stand between a letter or digit and a final full stop or comma: the vocabulary's rules cut there anyway.
-_FINAL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=[.,](?:[ \n]|\Z))")
+#: Lower-case Latin letters, which the rules before the model leave whole, and marks after them, which they cut off.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: The steps before the model under which all this holds.
+_STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
 
 
 class Encoder:
-    """The tokenizer behind a bounded memory of pieces.
+    """The tokenizer behind a memory of at most `room` pieces.
 
     The vocabulary's rules lower-case, and never join characters across a blank or a line break, so a text's ids are
     those of its pieces between these two; any other white space stays inside a piece and is left to the tokenizer.
-    New pieces of many documents go to it at once.
+    Plain words go to its model at once, other new pieces of many documents through all steps together. A vocabulary
+    with other steps gets whole texts.
     """
 
-    def __init__(self, path: str, end: int | None, room: int = 400_000):
+    def __init__(self, path: str, end: int | None, room: int = 1_500_000):  # about 0.3 GB
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {b"": b""}
         self.end = b"" if end is None else struct.pack("<I", end)
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = tuple([x["type"] for x in (steps[k] or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.cuts = kinds == _STEPS
+        # The model reads bytes under printable names, as its own step before gives them.
+        self.names = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"}
 
     def pieces(self, pieces: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.room:
-            self.known = {b"": b""}
+        if len(self.known) > self.room:  # frequent pieces came early: the earlier half stays
+            self.known = dict(islice(self.known.items(), self.room // 2))
         ids = list(map(self.known.get, pieces))
         if None in ids:
             gaps = [i for i, x in enumerate(ids) if x is None]
             new = list({pieces[i] for i in gaps})
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, coded, strict=True))
+            rest = []
+            for p in new:
+                m = _PLAIN.fullmatch(p) if self.cuts else None
+                if m:
+                    self.known[p] = self.plain(m[1]) + (self.known.get(m[2]) or self.whole(m[2]))
+                else:
+                    rest.append(p)
+            coded = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
+            self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, coded, strict=True))
             for i in gaps:
                 ids[i] = self.known[pieces[i]]
         return ids
 
-    def __call__(self, texts: Iterable[tuple[int | None, bytes | None]], many: int = 200_000) -> Iterator[tuple[int | None, bytes]]:
+    def plain(self, word: bytes) -> bytes:
+        if (ids := self.known.get(word)) is None:
+            found = self.tokenizer.model.tokenize(word.decode().translate(self.names))
+            ids = self.known[word] = array("I", [t.id for t in found]).tobytes()
+        return ids
+
+    def whole(self, piece: bytes) -> bytes:
+        ids = self.known[piece] = array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+        return ids
+
+    def __call__(self, texts: Iterable[tuple[int | None, bytes | None]], many: int = 500_000) -> Iterator[tuple[int | None, bytes]]:
         """(id, ids as little-endian u32) of each (id, UTF-8 text)."""
         held, some = [], []
         for d, t in texts:
-            mine = _FINAL.sub(b" ", (t or b"").translate(_FOLD)).replace(b"\n", b" ").split(b" ")
+            mine = (t or b"").translate(_FOLD).replace(b"\n", b" ").split(b" ") if self.cuts else [t or b""]
             held.append((d, len(mine)))
             some += mine
             if len(some) >= many:
@@ -160,6 +188,12 @@ class Encoder:
             at += n
 
 
+@lru_cache(2)
+def encoder(path: str, end: int | None) -> Encoder:
+    """One for all tasks of a Python worker, so that its memory of pieces outlives a task."""
+    return Encoder(path, end)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -179,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, encode = TaskContext.get().partitionId(), Encoder(vocabulary, end)
+        task, encode = TaskContext.get().partitionId(), encoder(vocabulary, end)
         coded = encode(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         done, made = False, []
         while not done:
