@@ -203,7 +203,7 @@ def default_vocabulary() -> str:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int | None = 2, segment_ids: int = 4_000_000, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text and write segments in ascending doc_id order; returns a row a file: (file, docs, ids).
 
-    Range partitioning gives each task a run of doc_ids, sorted; a task cuts its run into segments of about segment_ids
+    Range partitioning by id alone (its samples go to the driver: ids, no texts) gives each task a run of doc_ids, sorted; a task cuts its run into segments of about segment_ids
     ids, never inside a document, named so that file names sort as their documents. A task's files are written whole
     under names that depend only on the task, so a task run again overwrites its own. Null ids come last; null texts
     are empty; repeated ids stay, ordered by text. An empty table writes nothing. Other columns are not read.
@@ -231,7 +231,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], ["file", "docs", "ids"])
 
-    ordered = docs.select(F.col(id_col).alias("i"), F.col(text).cast("binary").alias("t")).repartitionByRange(F.asc_nulls_last("i"), F.asc("t")).sortWithinPartitions(F.asc_nulls_last("i"), F.asc("t"))
+    ordered = docs.select(F.col(id_col).alias("i"), F.col(text).cast("binary").alias("t")).repartitionByRange(F.asc_nulls_last("i")).sortWithinPartitions(F.asc_nulls_last("i"), F.asc("t"))
     return stored(ordered.mapInArrow(write, "file string, docs long, ids long"), "token-files")
 
 
