@@ -31,6 +31,8 @@ STOP_WORDS = frozenset(
 HIDDEN = frozenset("script style noscript template svg math canvas iframe object audio video select textarea button datalist head title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BOILER = frozenset("nav header footer aside form menu dialog fieldset".split())
+#: Those of them that may also wrap a whole page.
+SOFT = frozenset("form header fieldset".split())
 BLOCKS = frozenset(
     """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea
@@ -44,6 +46,9 @@ NAMED = re.compile(
     r"comment-?list|replies|reply|disqus|share|sharing|social|related|recommended|pagination|pager|toolbar|search|copyright|legal|"
     r"contentinfo|complementary|search|alertdialog)(?:$|[\s_-])"
 )
+#: Names of page layouts, not of parts; names that make even an article another part.
+LAYOUT = re.compile(r"\b(?:with|has|no|without)[-_]\w+")
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|related|recommended|ad|ads|advert\w*|sponsor\w*|promo\w*)(?:$|[\s_-])")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WHITE = re.compile(r"\s+")
@@ -71,7 +76,7 @@ class Block(NamedTuple):
 def split_blocks(page: str) -> list[Block]:
     """The page's visible blocks in order. Markup that is left open or crossed is taken as browsers do: roughly."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # (tag, hidden, boiler, article) as they hold inside
+    stack: list[tuple[str, bool, int, bool]] = []  # (tag, hidden, boiler, article) as they hold inside
     buf: list[str] = []
     linked, links, heading, raw = 0, 0, False, ""
 
@@ -80,8 +85,8 @@ def split_blocks(page: str) -> list[Block]:
         if buf:
             text = WHITE.sub(" ", html.unescape("".join(buf))).strip()
             if text:
-                _, _, boiler, article = stack[-1] if stack else ("", False, False, False)
-                out.append(Block(text, min(linked, len(text)), boiler, article, heading))
+                _, _, boiler, article = stack[-1] if stack else ("", False, 0, False)
+                out.append(Block(text, min(linked, len(text)), boiler > 0, article, heading))
             buf.clear()
         linked = 0
 
@@ -122,17 +127,20 @@ def split_blocks(page: str) -> list[Block]:
             links += 1
             continue
         own = {k.lower(): v.strip("\"'").lower() for k, v in ATTR.findall(attrs)} if attrs.strip(" /") else {}
-        names = " ".join(own.get(k, "") for k in ("class", "id", "role"))
+        names = LAYOUT.sub("", " ".join(own.get(k, "") for k in ("class", "id", "role")))
         hidden = tag in HIDDEN or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
-        boiler = bool(tag in BOILER or (names.strip() and tag not in ("html", "body", "article", "main") and NAMED.search(names)))
-        _, h, b, art = stack[-1] if stack else ("", False, False, False)
+        named = bool(names.strip() and tag not in ("html", "body") and (NAMED if tag not in ("article", "main") else OTHERS).search(names))
+        _, h, b, art = stack[-1] if stack else ("", False, 0, False)
+        if tag in ("article", "main") and b == 1:  # some sites wrap the whole page in a form or header
+            b = 0
+        boiler = 2 if named or (tag in BOILER and tag not in SOFT) else 1 if tag in SOFT else 0
         if tag in RAW and not attrs.endswith("/"):
             raw = tag
         if tag in BLOCKS or tag in HIDDEN or hidden or boiler:
             if tag == "p" and stack and stack[-1][0] == "p":  # a new paragraph ends the one before
                 stack.pop()
-                _, h, b, art = stack[-1] if stack else ("", False, False, False)
-            stack.append((tag, h or hidden, b or boiler, art or tag in ("article", "main")))
+                _, h, b, art = stack[-1] if stack else ("", False, 0, False)
+            stack.append((tag, h or hidden, max(b, boiler), art or tag in ("article", "main")))
     flush()
     return out
 

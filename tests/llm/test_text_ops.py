@@ -71,6 +71,8 @@ def test_html_main_text(make, spark):
     assert html_extract.main_text(PAGE % article) == "A & B\nOne two three\nFour five\nSix"
     plain = "<div><h2>Head</h2><p>" + "it is the way of the world and all that is in it, " * 4 + "</p><p>Short.</p></div><div><a href=1>one link</a> <a href=2>two links</a></div>"
     assert html_extract.main_text(PAGE % plain).split("\n")[0] == "Head" and html_extract.main_text(PAGE % plain).endswith("\nShort.")
+    wrapped = '<form><div class="page with-sidebar"><header><main><p>One.</p><article class="comment"><p>Two.</p></article></main></header></div></form>'
+    assert html_extract.main_text(wrapped) == "One."
     for odd in (None, "", "<", "<p", "<p class='x>y", "</p></div>", "&lt;p&gt;", "<!--", "<script>", "a" * 100_000, "<div>" * 5000):
         html_extract.main_text(odd)
     pages = spark.createDataFrame([(1, "u", PAGE % article), (2, None, None), (2, None, None)], "page_id long, url string, html string")
