@@ -144,7 +144,7 @@ def shingles(t, n, split):
 
 @pytest.mark.parametrize(("n", "split"), [(2, space_words), (5, words)])
 def test_near_duplicates(make, rnd, n, split, monkeypatch):
-    rows = [*ODD, (30, "one"), (31, "ONE"), (32, "one two"), (33, "a b c")]
+    rows = [*ODD, (30, "one"), (31, "ONE"), (32, "one two"), (33, "a b c"), (None, "a b c")]
     for b in range(6):
         base = prose(rnd, 60 + 20 * b, [f"w{i}" for i in range(400)]).split()
         for v in range(14):
