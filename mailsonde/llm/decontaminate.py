@@ -64,42 +64,44 @@ def _all_windows(words, n: int):
     return F.transform(_places(words, n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), _hash(words, i, n).alias("hash"), _text(words, i, n).alias("text")))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, set_limit: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """docs with __row (a row number), and per __row: n_words, spans (merged hit spans as word [start, stop)), n_hit and items.
+def find_hits(docs: DataFrame, key, benchmark: DataFrame, text: str = "text", carry: str | None = None, item: str = "item_id", item_text: str = "text", span: int = SPAN, set_limit: int = 100_000) -> DataFrame:
+    """Per value of key: __key, n_words, spans (merged hit spans as word [start, stop)), n_hit, items, and the column carry.
 
-    Up to set_limit distinct windows, their hashes go into the plan as a constant set, and the join that verifies is a
-    broadcast; beyond it, candidates come from a shuffled join of all document windows with the benchmark's. Only row
-    numbers, counts and candidate windows are shuffled. A null text has no words; an item without words has no window;
-    repeated rows count each for itself; with no documents or items there are no hits.
+    key names a row, or is a function of its text, so that equal texts are one. Up to set_limit distinct windows, their
+    hashes go into the plan as a constant set, and the join that verifies is a broadcast; beyond it, candidates come
+    from a shuffled join of all document windows with the benchmark's. Only keys, counts and candidate windows are
+    shuffled. A null text has no words; an item without words has no window; with no documents or items there are no hits.
     """
     grams = stored(windows(benchmark, item, item_text, span), "windows")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
     small = grams.limit(set_limit + 1).count() <= set_limit
-    base = rows.select("__row", word_array(F.col(text)).alias("w"))
+    kept = F.col(carry) if carry else F.lit(None).cast("string")
+    base = docs.select(key.alias("__key"), kept.alias("__carry"), word_array(F.col(text)).alias("w"))
     if small:
         sets: dict[int, tuple[list[int], list[int]]] = {}
         for r in grams.select("len", "head", "hash").collect():  # at most set_limit rows
             h = sets.setdefault(r["len"], (set(), set()))
             h[0].add(r["head"])
             h[1].add(r["hash"])
-        found = base.select("__row", F.size("w").alias("n_words"), F.explode_outer(_candidates(F.col("w"), {n: (sorted(a), sorted(b)) for n, (a, b) in sets.items()})).alias("c"))
-        found = found.select("__row", "n_words", "c.at", "c.len", "c.text")
-        grams = F.broadcast(grams)
+        found = base.select("__key", "__carry", F.size("w").alias("n_words"), F.explode_outer(_candidates(F.col("w"), {n: (sorted(a), sorted(b)) for n, (a, b) in sets.items()})).alias("c"))
+        found = found.select("__key", "__carry", "n_words", "c.at", "c.len", "c.text")
+        joined = found.join(F.broadcast(grams.select("len", "text", "items")), ["len", "text"], "left")
     else:
         lens = [r["len"] for r in grams.select("len").distinct().collect()]  # at most `span` rows
-        each = base.select("__row", F.explode(F.concat(*[_all_windows(F.col("w"), n) for n in lens])).alias("c")).select("__row", "c.*")
-        hit = each.join(grams.select("len", "hash", "text").distinct(), ["len", "hash", "text"]).select("__row", "at", "len", "text")
-        found = base.select("__row", F.size("w").alias("n_words")).join(hit, "__row", "left")
-    joined = found.join(grams.select("len", "text", "items"), ["len", "text"], "left")
+        each = base.select("__key", "__carry", F.size("w").alias("n_words"), F.explode_outer(F.concat(*[_all_windows(F.col("w"), n) for n in lens])).alias("c"))
+        each = each.select("__key", "__carry", "n_words", "c.*")
+        # All rows stay, so that documents are told once; what is not the benchmark's own text has no items.
+        known = grams.select("len", "hash", F.col("text").alias("__known"), "items")
+        joined = each.join(known, ["len", "hash"], "left").withColumn("items", F.when(F.col("text") == F.col("__known"), F.col("items")))
     hit = F.when(F.col("items").isNotNull(), F.struct("at", (F.col("at") + F.col("len")).alias("stop")))
-    spans = joined.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("raw"), F.collect_set("items").alias("sets"))
+    spans = joined.groupBy("__key").agg(F.first("__carry").alias("__carry"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("raw"), F.collect_set("items").alias("sets"))
     merged = F.aggregate(
         "raw",
         F.array().cast("array<struct<at:int,stop:int>>"),
         lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["stop"] >= x["at"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["at"].alias("at"), F.greatest(F.get(a, F.size(a) - 1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(a, F.array(x))),
     )
-    return rows, spans.select(
-        "__row",
+    return spans.select(
+        "__key",
+        "__carry",
         F.col("n_words").cast("long").alias("n_words"),
         merged.alias("spans"),
         F.aggregate("raw", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["at"], a["end"]))).alias("n"), F.greatest(a["end"], x["stop"]).alias("end")))["n"].alias("n_hit"),
@@ -108,24 +110,31 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, n_items, items, items_sha256, contaminated."""
-    numbered, spans = find_hits(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")), benchmark, "__text", **how)
-    joined = spans.join(numbered.select("__row", "__id"), "__row")
+    """Per row of docs: id, n_words, n_hit, n_items, items, items_sha256, contaminated. Repeated rows count each for itself."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+    found = find_hits(rows, F.monotonically_increasing_id(), benchmark, "__text", "__id", **how)
     items = F.array_join("items", ",")
-    return joined.select(F.col("__id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+    return found.select(F.col("__carry").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    """docs with a key that is the text's alone: it is the same however often and in whatever order docs are computed."""
+    return docs.withColumn("__name", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share: float = 0.0, **how) -> DataFrame:
     """docs without contaminated documents: those whose hit words exceed drop_share of all their words (0: any hit)."""
-    numbered, spans = find_hits(docs, benchmark, text, **how)
-    bad = spans.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * F.lit(drop_share))).select("__row")
-    return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
+    named = _named(docs, text)
+    found = find_hits(named, F.col("__name"), benchmark, text, **how)
+    bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * F.lit(drop_share))).select(F.col("__key").alias("__name"))
+    return named.join(bad, "__name", "left_anti").select(*docs.columns)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs with hit words cut out of the text: the words that stay, with whatever stood before each of them."""
-    numbered, spans = find_hits(docs, benchmark, text, **how)
-    joined = numbered.join(spans.select("__row", F.col("spans").alias("__spans")), "__row")
+    named = _named(docs, text)
+    found = find_hits(named, F.col("__name"), benchmark, text, **how).select(F.col("__key").alias("__name"), F.col("spans").alias("__spans"))
+    joined = named.join(found, "__name")
     # Each word with the characters before it, in the text as it was; what follows the last word is kept.
     parts = F.regexp_extract_all(F.col(text), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     left = F.filter(parts, lambda _, i: ~F.exists("__spans", lambda s: (i >= s["at"]) & (i < s["stop"])))
