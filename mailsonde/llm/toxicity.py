@@ -50,15 +50,20 @@ def _keys(w: bytes) -> list[bytes]:
 
 def _mined(docs: list[tuple[list[bytes], int]], least: int = 4, ratio: float = 20.0) -> set[bytes]:
     """Words and beginnings that mark toxic documents: in `least` or more, and `ratio` times as frequent there."""
-    count = (Counter(), Counter())
-    size = [0, 0]
-    for ws, y in docs:
-        size[y] += 1
-        count[y].update({k for w in set(ws) for k in _keys(w)})
+    size = [sum(y == k for _, y in docs) for k in (0, 1)]
     if not all(size):
         return set()
-    clean, toxic = count
-    return {k for k, n in toxic.items() if n >= least and (n / size[1]) / ((clean[k] + 0.5) / size[0]) >= ratio}
+    keys = lambda ws: {k for w in set(ws) for k in _keys(w)}
+    toxic: Counter = Counter()
+    for ws, y in docs:
+        if y:
+            toxic.update(keys(ws))
+    toxic = Counter({k: n for k, n in toxic.items() if n >= least})
+    clean: Counter = Counter()  # of what toxic documents hold: the rest tells nothing
+    for ws, y in docs:
+        if not y:
+            clean.update(k for k in keys(ws) if k in toxic)
+    return {k for k, n in toxic.items() if (n / size[1]) / ((clean[k] + 0.5) / size[0]) >= ratio}
 
 
 def _forward_backward(emit: np.ndarray, trans: np.ndarray):
@@ -79,7 +84,8 @@ def _forward_backward(emit: np.ndarray, trans: np.ndarray):
 
 def fit(rows: list[tuple[bytes | None, int]], share: float, steps: int = 150, rate: float = 0.1) -> Model:
     """A model from (UTF-8 text, 0 or 1) rows; share is the share of toxic rows among all labelled ones."""
-    docs = [(words(t), y) for t, y in rows]
+    one: dict[bytes, bytes] = {}  # one object a word
+    docs = [([one.setdefault(w, w) for w in words(t)], y) for t, y in rows]
     marks = _mined(docs)
     if not marks:
         return Model({}, 0.0, (0.0, 0.0, 0.0, 0.0), (0.0,) * 4, share)
