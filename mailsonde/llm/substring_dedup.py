@@ -94,6 +94,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text: str, k: int, least: int, l
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "id long, first int, count int, again boolean, h1 long, h2 long")
     rows = stored(rows, "runs")
     kinds = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("src")).where("n > 1").select("h1", "h2", "src")
+    kinds = stored(kinds, "repeated-runs")  # read anew, so that the join may split a run that very many documents share
     return rows.join(kinds, ["h1", "h2"]).where("id > src or again").select("id", "first", "count", "src")
 
 
