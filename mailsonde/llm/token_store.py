@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _FOLD, file_system, new_path, stored, write_whole
+from .common import _FOLD, broadcast_if_small, file_system, new_path, stored, write_whole
 
 MAGIC, BITS, SPAN = b"DAC1", 8, 512
 
@@ -272,4 +272,5 @@ def token_store(docs: DataFrame, path: str | None = None, vocabulary: str | None
     files = write_tokens(docs, path or new_path(docs.sparkSession, "tokens"), vocabulary, **how)
     before = F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = files.select("file", before.alias("before"))
-    return read_tokens(files).join(starts, "file").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "first_id", "last_id")
+    # One row a file goes to every task, behind a check of their number; never the documents' rows.
+    return read_tokens(files).join(broadcast_if_small(starts, files), "file").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "first_id", "last_id")
