@@ -32,29 +32,29 @@ def cut(data: bytes | None) -> list[tuple[int, int, list[bytes]]]:
     return out
 
 
-def runs(parts: list[tuple[int, int, list[bytes]]], k: int = SENTENCES, least: int = WORDS, long: int = LONG) -> list[tuple[int, int, bytes]]:
-    """(first, count, text) of each sentence's shortest run of k or more sentences and `least` or more words.
+def runs(parts: list[tuple[int, int, list[bytes]]], k: int = SENTENCES, least: int = WORDS, long: int = LONG) -> Iterator[tuple[int, int, bytes]]:
+    """(first, count, text) of each sentence's shortest run of k or more sentences and `least` or more words, from it on and up to it.
 
-    A run of fewer sentences counts as well once it has `long` words: a passage may be made of long ones.
+    A run of fewer sentences counts as well once it has `long` words: a passage may be made of long ones. A sentence of
+    a longer run lies in the shortest run up to it if the longer one's part up to it is enough, and otherwise in the
+    shortest run from the longer one's first sentence on: these two kinds cover all that any run covers. What text is a
+    run of which kind depends on the text alone. Ordered by first and count, each place once.
     """
-    out, ns = [], [len(ws) for *_, ws in parts]
+    ns = [len(ws) for *_, ws in parts]
     joined = [b" ".join(ws) for *_, ws in parts]
-    j, total = 0, 0
+    stops, j, total = [], 0, 0  # where the shortest run from each sentence on ends: never before that of the sentence before
     for i in range(len(parts)):
-        if i:
-            total -= ns[i - 1]
+        total -= ns[i - 1] if i else 0
         while j < len(parts) and not (total >= long or (j - i >= k and total >= least)):
             total += ns[j]
             j += 1
-        if total >= long or (j - i >= k and total >= least):
-            # The end found for the sentence before may be more than this one needs.
-            while j - i > 1 and (total - ns[j - 1] >= long or (j - 1 - i >= k and total - ns[j - 1] >= least)):
-                j -= 1
-                total -= ns[j]
-            out.append((i, j - i, b"\n".join(joined[i:j])))
-        else:
+        if not (total >= long or (j - i >= k and total >= least)):
             break
-    return out
+        stops.append(j)
+    # A run is the shortest up to its last sentence if the next sentence's run ends after that.
+    for i, (j, after) in enumerate(zip(stops, [*stops[1:], len(parts) + 1], strict=False)):
+        for stop in range(j, max(j + 1, after)):
+            yield i, stop - i, b"\n".join(joined[i:stop])
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text: str, k: int, least: int, long: int) -> DataFrame:

@@ -195,5 +195,36 @@ def test_repeated_passages(make, rnd):
     assert set(docs.columns) == set(out.columns) and substring_dedup.remove_repeats(make([])).count() == 0
 
 
+def every_run_removed(rows):
+    """As brute_removed(), over all runs of 3 sentences and 20 words or of 40 words, enumerated here."""
+    seen, gone = {}, {}
+    for d, t in sorted(rows):
+        ws = [words(x.encode()) for x in re.split(r"(?<=[.!?])\s", t) if words(x.encode())]
+        for i in range(len(ws)):
+            for j in range(i + 1, len(ws) + 1):
+                n = sum(map(len, ws[i:j]))
+                if n >= 40 or (n >= 20 and j - i >= 3):
+                    if seen.setdefault(str(ws[i:j]), (d, i)) != (d, i):
+                        gone.setdefault(d, set()).update(range(i, j))
+    return gone
+
+
+def test_repeated_passages_are_removed_whole(make, rnd):
+    def text(*sizes):
+        return " ".join(" ".join(f"w{rnd.randrange(10**9)}" for _ in range(n)) + "." for n in sizes)
+
+    rows = []
+    for sizes in [(40, 15, 10), (10, 10, 2, 2), (2, 2, 10, 10), (7, 7, 7), (50,), (20, 19), (1,) * 25, (1, 1, 60, 1, 1)] + [rnd.choices((1, 2, 5, 9, 15, 25, 45), k=rnd.randint(1, 9)) for _ in range(60)]:
+        passage = text(*sizes)
+        for _ in range(2):
+            rows.append((len(rows), " ".join([text(*rnd.choices((3, 8, 30), k=rnd.randint(0, 3))), passage, text(*rnd.choices((3, 8, 30), k=rnd.randint(0, 3)))])))
+        if rnd.random() < 0.3:
+            rows.append((len(rows), passage + " " + text(4, 30) + " " + passage))
+    gone = every_run_removed(rows)
+    assert len(gone[1]) == 3 and len(rows) > 100
+    got = {r["id"]: r["covered"] for r in substring_dedup.repeated_passages(make(rows)).collect()}
+    assert got == {i: sorted(x) for i, x in gone.items()}
+
+
 def test_every_query_is_named():
     assert [re.fullmatch(r"op(\d+)_[a-z0-9_]+", q)[1] for q in queries.queries()] == [str(i) for i in range(1, 11)]
