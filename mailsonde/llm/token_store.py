@@ -121,7 +121,8 @@ class Encoder:
 
     The vocabulary's rules lower-case, and never join characters across a blank or a line break, so a text's ids are
     those of its pieces between these two; any other white space stays inside a piece and is left to the tokenizer.
-    Plain words go to its model at once, other new pieces of many documents through all steps together. A vocabulary
+    Plain words go to its model at once, other new pieces of many documents through all steps together. Pieces are
+    lower-cased before, but for those that would hold a special token then: it is matched as it is written. A vocabulary
     with other steps gets whole texts.
     """
 
@@ -135,6 +136,7 @@ class Encoder:
         steps = json.loads(self.tokenizer.to_str())
         kinds = tuple([x["type"] for x in (steps[k] or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
         self.cuts = kinds == _STEPS
+        self.special = [x["content"].encode().translate(_FOLD) for x in steps["added_tokens"] if not x["normalized"]]
         # The model reads bytes under printable names, as its own step before gives them.
         self.names = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"}
 
@@ -158,6 +160,13 @@ class Encoder:
                 ids[i] = self.known[pieces[i]]
         return ids
 
+    def cut(self, text: bytes) -> list[bytes]:
+        folded = (text := text.replace(b"\n", b" ")).translate(_FOLD)
+        out = folded.split(b" ")
+        if any(x in folded for x in self.special):
+            out = [raw if any(x in p for x in self.special) else p for raw, p in zip(text.split(b" "), out, strict=True)]
+        return out
+
     def plain(self, word: bytes) -> bytes:
         if (ids := self.known.get(word)) is None:
             found = self.tokenizer.model.tokenize(word.decode().translate(self.names))
@@ -172,7 +181,7 @@ class Encoder:
         """(id, ids as little-endian u32) of each (id, UTF-8 text)."""
         held, some = [], []
         for d, t in texts:
-            mine = (t or b"").translate(_FOLD).replace(b"\n", b" ").split(b" ") if self.cuts else [t or b""]
+            mine = self.cut(t or b"") if self.cuts else [t or b""]
             held.append((d, len(mine)))
             some += mine
             if len(some) >= many:

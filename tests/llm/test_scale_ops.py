@@ -88,6 +88,15 @@ def test_token_files(make):
     assert token_store.token_store(make([])).count() == 0
 
 
+def test_special_tokens_are_matched_as_written():
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(token_store.default_vocabulary()), token_store.Encoder(token_store.default_vocabulary(), None)
+    texts = ["a <|ENDOFTEXT|> b", "A <|endoftext|> B", "A<|EndOfText|>B C\n<|StartOfText|>", "X<|startoftext|>Y<|STARTOFTEXT|>!", "<|end OFTEXT|>", "<|ENDOFTEXT|>" * 3]
+    for t, (_, ids) in zip(texts, encode((None, t.encode()) for t in texts), strict=True):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(t, add_special_tokens=False).ids
+
+
 def brute_components(n, links):
     label = list(range(n))
 
