@@ -82,9 +82,12 @@ class Scanner:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
-            for a, b in merged:
-                for m in rule.finditer(text, a, min(b, len(text))):
+            # The best match of a window first, then those of what lies before and after it.
+            while merged:
+                a, b = merged.pop()
+                if b - a >= len(raw) - n.edits and (m := rule.search(text, a, min(b, len(text)))):
                     found.append((n.label, m.start(), m.end(), sum(m.fuzzy_counts), len(raw)))
+                    merged += [a, m.start()], [m.end(), b]
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, data: bytes | None):

@@ -59,6 +59,17 @@ def test_pigeonhole_finds_what_the_pattern_finds(rnd):
             assert bool(regex.search(rule.pattern, text)) == any(x[0] == n.label and x[4] == len(raw) for x in s.fuzzy(text))
 
 
+def test_inexact_notices_next_to_each_other_are_all_found(rnd):
+    s = licenses.Scanner()
+    spans = lambda text, label: [text[a:b] for x, a, b, *_ in s.fuzzy(text) if x == label]
+    assert len(spans(b" mozila public license mozilla public license x ", "mpl")) == 2
+    for _ in range(20):
+        copies = [rnd.choice([b"mozilla public license", b"mozila public license", b"mozilla publik licence", b"mozilla publicc license"]) for _ in range(rnd.randint(2, 9))]
+        text = b" " + b" ".join(copies) + b" "
+        got = spans(text, "mpl")
+        assert len(got) == len(copies) and all(c[2:-2] in g for c, g in zip(copies, got, strict=True))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body><!-- c -->
 <nav><a href=x>Home</a></nav><header><p>The head of the site</p></header><div class="cookie-notice"><p>This is a notice that we use cookies on the site.</p></div>
 %s
