@@ -101,7 +101,6 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     # A factor keeps squares of very large and very small components in range.
     top = F.array_max(F.transform("v", F.abs))
     good = kept.where(sound).select("id", F.size("v").alias("dims"), F.transform("v", lambda x: x / top).alias("v"))
-    radius = ((2 - 2 * cosine) / blocks + SLACK) ** 0.5
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +113,9 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
                 x = _unit(flat[starts[at][:, None] + np.arange(n)])
                 r = x @ rotation(int(n))
                 raw = pa.array([y.tobytes() for y in x], pa.binary())
-                for k, s in enumerate(block_slices(int(n), blocks)):
+                slices = block_slices(int(n), blocks)
+                radius = ((2 - 2 * cosine) / len(slices) + SLACK) ** 0.5  # short vectors have fewer blocks
+                for k, s in enumerate(slices):
                     cell = np.floor(r[:, s.start] / radius).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), n, np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(cell), raw], ["id", "dims", "block", "cell", "x"])
 

@@ -146,6 +146,17 @@ def test_similar_vectors(spark, monkeypatch):
     assert sum(count.values()) > 300 and embedding_dedup.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_similar_short_vectors(spark):
+    g = np.random.default_rng(3)
+    for dims in (1, 2, 3):
+        x = g.standard_normal((300, dims))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        want = (x @ x.T >= 0.95).sum(1) - 1
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.similar_vectors(df).collect()}
+        assert [got[i] for i in range(300)] == want.tolist()
+
+
 def shingles(t, n, split):
     ws = split((t or "").encode())
     return {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
