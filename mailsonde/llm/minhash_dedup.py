@@ -119,18 +119,21 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, by_letters: bool
 
 
 def shingle_sets(docs: DataFrame, n: int, by_letters: bool) -> DataFrame:
-    """(id, s) of docs (id, t): s is the sorted set of hashes, packed."""
+    """(id, digest, s) of docs (id, t): s is the sorted set of hashes, packed; digest names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         shingle = Shingler(n, all_words if by_letters else space_words)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "s"])
+            sets = [shingle(t).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "s"])
 
-    return docs.mapInArrow(run, "id long, s binary")
+    return docs.mapInArrow(run, "id long, digest binary, s binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+    """The pairs (a, b) of those (a, da, b, db) with 100 * intersection >= percent * union, on the full sets that da and db name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +147,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("digest").alias("da"), F.col("s").alias("sa")), ["a", "da"])
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("digest").alias("db"), F.col("s").alias("sb")), ["b", "db"])
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -156,14 +159,15 @@ def links_within(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     sets: every pair of documents of different components is checked. Of the links it finds a task returns those that
     join components it has not joined yet, so its rows are fewer than its documents.
     """
-    dealt = buckets.withColumn("c", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    who = [c for c in ("rep", "digest") if c in buckets.columns]  # digest tells sets of one id apart
+    dealt = buckets.withColumn("c", F.pmod(F.xxhash64(*who), "chunks").cast("int"))
     # Chunk c takes part in the pairs (c, j) and (i, c).
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    dealt = dealt.select("key", "rep", "k", "c", F.explode(others).alias("o"))
-    dealt = dealt.select("key", "rep", "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    dealt = dealt.select("key", *who, "k", "c", F.explode(others).alias("o"))
+    dealt = dealt.select("key", *who, "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     # Sets join last, and only for pairs of chunks that hold different components.
     useful = dealt.groupBy("key", "i", "j").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("key", "i", "j")
-    rows = dealt.join(useful, ["key", "i", "j"]).join(sets, F.col("rep") == sets["id"]).select("key", "i", "j", "rep", "k", "s")
+    rows = dealt.join(useful, ["key", "i", "j"]).join(sets.withColumnRenamed("id", "rep"), who).select("key", "i", "j", "rep", "k", "s")
 
     def compare(table: pa.Table) -> pa.Table:
         reps, ks = np.asarray(table["rep"]), np.asarray(table["k"])
@@ -200,31 +204,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Links join documents whose sets of distinct word n-grams (shorter texts: all words as one) have a Jaccard
     similarity of percent / 100 or more. Null and empty texts have the empty set and link with nothing. Equal sets are
-    one vertex from the start, whatever their number. Rows that share an id are one document; rows with a null id keep
+    one vertex from the start, whatever their number. Rows that share an id are one document, which has the links of all
+    its texts; rows with a null id keep
     a null component and stay. An empty table gives no rows. Other columns are not read.
     """
     text_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     sig = stored(signatures(docs, id_col, text, n, by_letters, bands, rows), "signatures")
     classes = stored(sig.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     own = sig.alias("s").join(classes.alias("c"), (F.col("s.digest") == F.col("c.digest")) & (F.col("s.id") == F.col("c.rep")))
-    own = own.select("rep", "n", "keys").dropDuplicates(["rep", "n"])
-    members = own.select("rep", "n", F.explode("keys").alias("key"))
+    own = own.select("rep", "s.digest", "n", "keys").dropDuplicates(["rep", "digest"])
+    members = own.select("rep", "digest", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = stored(members.join(shared, "key").select("key", "rep", "n", "m"), "buckets")
+    members = stored(members.join(shared, "key").select("key", "rep", "digest", "n", "m"), "buckets")
 
-    centre = members.groupBy("rep").agg(F.sum("m").alias("met"))
-    ranked = members.join(centre, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "n")).alias("c"))
-    star = members.join(ranked, "key").select(F.least("rep", -F.col("c.minus")).alias("a"), F.greatest("rep", -F.col("c.minus")).alias("b"), F.least("n", "c.n").alias("lo"), F.greatest("n", "c.n").alias("hi"))
+    centre = members.groupBy("rep", "digest").agg(F.sum("m").alias("met"))
+    ranked = members.join(centre, ["rep", "digest"]).groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "digest", "n")).alias("c"))
+    ends = F.struct("rep", "digest", "n"), F.struct((-F.col("c.minus")).alias("rep"), "c.digest", "c.n")
+    star = members.join(ranked, "key").select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+    star = star.select(F.col("x.rep").alias("a"), F.col("x.digest").alias("da"), F.col("y.rep").alias("b"), F.col("y.digest").alias("db"), F.least("x.n", "y.n").alias("lo"), F.greatest("x.n", "y.n").alias("hi"))
     # Sets whose sizes alone keep the similarity below the bound need no check: intersection <= lo, union >= hi.
     allowed = F.col("lo") * 100 >= F.col("hi") * percent
-    tried = stored(star.where((F.col("a") < F.col("b")) & allowed).select("a", "b").distinct(), "star-pairs")
+    tried = stored(star.where((F.col("a") < F.col("b")) & allowed).select("a", "da", "b", "db").distinct(), "star-pairs")
 
     ends = members.select("rep").distinct()
     sets = stored(shingle_sets(text_rows.join(ends, text_rows["id"] == ends["rep"], "left_semi"), n, by_letters), "sets")
-    links = stored(verified(tried, sets, percent), "links")
+    # An id with several texts joins their classes.
+    several = sig.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id")
+    several = stored(several, "ids-of-several-texts")
+    same = sig.select("id", "digest").join(several, "id").join(classes, "digest").where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    links = stored(verified(tried, sets, percent).unionByName(same), "links")
     found = stored(components(links), "components")
 
-    placed = members.join(found, members["rep"] == found["id"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("k"))
+    placed = members.join(found, members["rep"] == found["id"], "left").select("key", "rep", "digest", "n", F.coalesce("component", "rep").alias("k"))
     split = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.ceil(F.sum("n") / GROUP).cast("int").alias("chunks")).where("lo < hi").select("key", "chunks")
     more = stored(links_within(placed.join(split, "key"), sets, percent), "more-links")
     if not more.isEmpty():

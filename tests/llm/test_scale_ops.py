@@ -192,6 +192,18 @@ def test_near_duplicates(make, rnd, n, split, monkeypatch):
     assert minhash_dedup.near_duplicates(make([])).count() == 0
 
 
+def test_each_text_of_a_repeated_id_keeps_its_links(make, monkeypatch):
+    base = {k: [f"{k}{i}" for i in range(50)] for k in "abcdef"}
+    near = lambda k, i: " ".join([*base[k][:i], "z", *base[k][i + 1 :]])
+    own = lambda k: " ".join(base[k])
+    rows = [(1, own("a")), (1, own("b")), (2, near("a", 7)), (3, near("b", 9)), (4, own("c")), (5, own("d")), (6, own("c")), (6, own("d")), (6, own("d")), (7, near("d", 30)), (8, own("e")), (9, near("e", 40)), (9, own("f")), (10, near("f", 4)), (11, "x y z")]
+    monkeypatch.setattr(minhash_dedup, "GROUP", 100)
+    got = minhash_dedup.near_duplicates(make(rows), n=2).collect()
+    assert len(got) == len(rows)
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4, 8: 8, 9: 8, 10: 8, 11: 11}
+    assert {(r["doc_id"], r["component_id"]) for r in got} == set(want.items())
+
+
 def test_bucket_comparison_is_whole(spark, rnd, monkeypatch):
     """Whatever the star misses, chunks of a bucket find: all sets in one bucket, all in components of their own."""
     monkeypatch.setattr(minhash_dedup, "GROUP", 300)
