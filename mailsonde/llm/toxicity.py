@@ -90,14 +90,14 @@ def fit(rows: list[tuple[bytes | None, int]], share: float, steps: int = 150, ra
     if not marks:
         return Model({}, 0.0, (0.0, 0.0, 0.0, 0.0), (0.0,) * 4, share)
     index = {k: i for i, k in enumerate(sorted(marks))}
-    seqs: list[list[list[int]]] = []
+    seqs: list[list[tuple[int, ...]]] = []
     tags: list[list[int]] = []
     for ws, y in docs:
-        hits = [i for i, w in enumerate(ws) if any(k in marks for k in _keys(w))][:40]
+        hits = [i for i, w in enumerate(ws) if any(k in marks for k in _keys(w))]
         centres = {i // WINDOW for i in hits} | ({len(ws) // 2 // WINDOW} if ws else set())
         for c in sorted(centres):
             part = ws[c * WINDOW : (c + 1) * WINDOW]
-            fs = [[index[k] for k in _keys(w) if k in index] for w in part] + [[]] * (WINDOW - len(part))
+            fs = [tuple(index[k] for k in _keys(w) if k in index) for w in part] + [()] * (WINDOW - len(part))
             seqs.append(fs)
             tags.append([int(bool(y and f)) for f in fs])
     at = np.array([(s, t, f) for s, q in enumerate(seqs) for t, fs in enumerate(q) for f in fs], int).reshape(-1, 3)

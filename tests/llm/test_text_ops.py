@@ -173,6 +173,11 @@ def test_toxicity_without_labels(make, spark):
     assert [r["x"]["score"] for r in toxicity.score_documents(docs, model, out="x").collect()] == [0.0, 0.0]
 
 
+def test_toxicity_is_fitted_on_all_marked_words():
+    rows = [(b"bad " * 60 + b"late", 1) for _ in range(20)] + [(b"all is fine here", 0) for _ in range(20)]
+    assert toxicity.fit(rows, 0.5).weights[b"late"] > 0.5
+
+
 def brute_removed(rows):
     """Sentence numbers to remove of each document: runs seen at an earlier (id, place)."""
     seen, gone = {}, {}
