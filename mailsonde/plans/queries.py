@@ -584,7 +584,7 @@ def median_imputation(spark, d):
 @query()
 def hashed_documents(spark, d):
     """Token counts in 32 buckets by Spark's own hash; no other engine has it."""
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(hashed(F.col("p_name")), lambda x: F.round(x, 6).cast("string")), ",").alias("fp_hash"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(hashed(F.col("text")), lambda x: F.round(x, 6).cast("string")), ",").alias("fp_hash"))
 
 
 @query("""WITH x AS (SELECT toxic AS y, least(1.0::DOUBLE, n_chars / 10000.0::DOUBLE) AS s FROM labels JOIN documents USING (doc_id)), t AS (SELECT CAST(i AS DOUBLE) / 10 AS threshold FROM range(1, 10) r(i)),

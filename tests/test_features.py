@@ -69,3 +69,12 @@ def test_features_of_a_session(spark, tmp_path):
     assert abs(scored[50]["x"]) < 1e-9 and scored[0]["x"] < -5 and scored[100]["x"] > 5 and scored[7]["c"] == 0
     chain = certificates.certificates(s, ident).collect()
     assert [x["cert"]["fingerprint_sha256"] for x in chain] == [hashlib.sha256(leaf).hexdigest()]
+
+
+def test_hashed_documents_reads_whole_texts(spark, tmp_path):
+    from mailsonde.plans.queries import hashed_documents
+
+    rows = [(1, "one two"), (2, "One, TWO! " * 5000), (3, None), (4, ""), (5, "one " * 5000 + "two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["fp_hash"] for r in hashed_documents(spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] != got[5] and got[3] == got[4] == ",".join(["0.0"] * 32)
