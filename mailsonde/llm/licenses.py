@@ -7,6 +7,7 @@ bounded-error matching decides and reports the span and the edits.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,6 +44,8 @@ NOTICES = (
     Notice("this is free and unencumbered software released into the public domain", "unlicense", 5),
 )
 
+#: Windows whose best match a worker remembers, of each notice.
+ROOM = 20_000
 SPANS = "array<struct<label:string,start:int,stop:int,edits:int>>"
 SCHEMA = f"n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {SPANS}"
 
@@ -64,30 +67,40 @@ class Scanner:
             raw = n.text.encode()
             rule = regex.compile(b"(?b)(?:%s){e<=%d}" % (regex.escape(raw), n.edits))
             self.notices.append((n, raw, _pieces(raw, n.edits), rule))
-
-    def fuzzy(self, text: bytes) -> list[tuple[str, int, int, int]]:
-        """(label, start, stop, edits) in the normalised text; matches of one notice do not overlap."""
+        self.known: list[dict] = [{} for _ in self.notices]
+
+    def best(self, k: int, window: bytes) -> tuple[int, int, int] | None:
+        """(start, stop, edits) of notice k's best match in a window of bounded length; remembered up to a bound."""
+        known = self.known[k]
+        if window not in known:
+            if len(known) >= ROOM:
+                known.clear()
+            m = self.notices[k][3].search(window)
+            known[window] = m and (m.start(), m.end(), sum(m.fuzzy_counts))
+        return known[window]
+
+    def fuzzy(self, text: bytes) -> list[tuple[str, int, int, int, int]]:
+        """(label, start, stop, edits, length) in the normalised text; of matches of one notice that overlap, that of fewest edits, then the first."""
         found = []
-        for n, raw, pieces, rule in self.notices:
-            windows = []
+        for k, (n, raw, pieces, _) in enumerate(self.notices):
+            starts = set()
             for at, piece in pieces:
                 i = text.find(piece)
                 while i >= 0:
-                    windows.append((max(0, i - at - n.edits), i - at + len(raw) + n.edits))
+                    starts.add(i - at)
                     i = text.find(piece, i + 1)
-            # A window holds any match whose unchanged piece lies here; matches near each other share a merged window.
-            merged: list[list[int]] = []
-            for a, b in sorted(windows):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            # The best match of a window first, then those of what lies before and after it.
-            while merged:
-                a, b = merged.pop()
-                if b - a >= len(raw) - n.edits and (m := rule.search(text, a, min(b, len(text)))):
-                    found.append((n.label, m.start(), m.end(), sum(m.fuzzy_counts), len(raw)))
-                    merged += [a, m.start()], [m.end(), b]
+            # Any match around an unchanged piece lies in that piece's window.
+            matches = set()
+            for i in starts:
+                a = max(0, i - n.edits)
+                if m := self.best(k, text[a : max(0, i + len(raw) + n.edits)]):
+                    matches.add((m[2], a + m[0], a + m[1]))
+            kept: list[tuple[int, int, int]] = []
+            for edits, a, b in sorted(matches):
+                at = bisect_left(kept, (a,))
+                if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+                    kept.insert(at, (a, b, edits))
+            found += [(n.label, a, b, edits, len(raw)) for a, b, edits in kept]
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, data: bytes | None):
@@ -115,11 +128,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=None, notices=NOTICE
     """docs with a struct column `license` (SCHEMA): counts and word places of base phrases, labels, score and fuzzy spans.
 
     Spans are byte offsets in the normalised text (lower-cased words joined and framed by one space). Every row is
-    kept; null and empty texts have no words, no labels, score 0. Texts of any length are scanned whole; repeated rows
-    each get the same answer. No shuffle.
+    kept; null and empty texts have no words, no labels, score 0; an empty table gives no rows. Texts of any length are
+    scanned whole, in time that grows with their length; of overlapping matches of one notice as good as each other the
+    first stays; repeated rows each get the same answer. A column `license` is replaced, others are left alone. No
+    shuffle.
     """
-
-
     base = dict(base or BASE)
 
     @F.pandas_udf(SCHEMA)
