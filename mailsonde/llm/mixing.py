@@ -12,10 +12,14 @@ BUCKETS = 4096
 
 def text_size(c):
     """Number of runs without ASCII white space; null has none. Counted as a split, inside the JVM."""
-    trimmed = F.regexp_replace(F.coalesce(c, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
+    trimmed = F.regexp_replace(F.coalesce(c, F.lit("")), rf"\A{SPACE}|{SPACE}\z", "")
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
+def text_name(c):
+    return F.md5(F.coalesce(c, F.lit("")))
+
+
 def water_fill(sources: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """sources (source, source_size, weight) with a column `target`.
 
@@ -44,14 +48,14 @@ def source_weights(sources: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0
 
 
 def sampled(sizes: DataFrame, targets: DataFrame, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
-    """sizes (id, source, size, and what else) with source_size, target, taken and times: whole repetitions plus a seeded fraction.
+    """sizes (id, h, source, size, and what else) with source_size, target, taken and times: whole repetitions plus a seeded fraction.
 
     Every document of a source is taken floor(target / source_size) times; the rest of the target is filled by whole
-    documents in the order of a seeded hash of their ids, up to the one whose middle crosses it, so that the sum misses
+    documents in the order of a seeded hash of their ids and texts (h), up to the one whose middle crosses it, so that the sum misses
     the target by half a document at most. Sums by (source, bucket of the hash) find the crossing bucket, and only its
     rows are put in order: no source is ever gathered, however hot. sizes and targets must be stored tables.
     """
-    u = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    u = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("h")))
     rows = sizes.withColumn("u", u).withColumn("bucket", F.conv(F.substring("u", 1, 3), 16, 10).cast("int"))
     goal = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     base = targets
@@ -72,22 +76,24 @@ def sampled(sizes: DataFrame, targets: DataFrame, seed: int = 42, buckets: int =
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0, cycle=(3.0, 1.0, 2.0), seed: int = 42) -> DataFrame:
-    """Per document: id, source, size, source_size, target, taken, times.
+    """Per document: id, h, source, size, source_size, target, taken, times; h is the md5 of the text.
 
-    Texts are read once, into a stored table of sizes; all else works on that. Null texts have size 0 and take 0 words;
-    null sources are one source, last in order; null ids hash alike and repeated rows are taken each for itself. A
-    source without words gets target 0. An empty table gives no rows. Other columns are not read.
+    Texts are read once, whole, into a stored table of sizes; all else works on that. Null texts have size 0 and take 0
+    words; null sources are one source, last in order; rows that share an id, or have none, are told apart by their
+    texts, and repeated rows are taken each for itself, by size where hashes tie. A source without words gets target
+    0. An empty table gives no rows. Other columns are not read.
     """
-    sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), text_size(F.col(text)).alias("size")), "sizes")
+    sizes = stored(docs.select(F.col(id_col).alias("id"), text_name(F.col(text)).alias("h"), F.col(source).alias("source"), text_size(F.col(text)).alias("size")), "sizes")
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     return sampled(sizes, stored(water_fill(source_weights(sums, cycle), share, cap), "targets"), seed)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with docs' columns; documents without words go.
+    """The mix itself: each document as often as it is taken, with docs' columns; documents without words, null texts among them, go.
 
-    The plan is joined by id, so ids should be distinct; of rows that share one, each comes as often as the first taken.
+    The plan is joined by id and text; rows that share both come as often as the first taken. No documents: no rows.
     """
-    times = plan_mix(docs, id_col, **how).groupBy("id").agg(F.max("times").alias("__times")).where("__times > 0")
-    kept = docs.join(times, docs[id_col].eqNullSafe(times["id"])).where(text_size(F.col(how.get("text", "text"))) > 0)
+    times = plan_mix(docs, id_col, **how).where("times > 0 and size > 0").groupBy("id", "h").agg(F.max("times").alias("__times"))
+    text = docs[how.get("text", "text")]
+    kept = docs.join(times, docs[id_col].eqNullSafe(times["id"]) & (text_name(text) == times["h"]))
     return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])
