@@ -26,7 +26,7 @@ from .common import words
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and characters of a row that may be in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 STEMS = (4, 5, 6)
-WINDOW, RUN = 9, 128
+WINDOW = 9
 SPANS = "array<struct<first:int,start:int,stop:int,p:double>>"
 SCHEMA = f"score double, spans {SPANS}"
 
@@ -138,10 +138,19 @@ class Tagger:
         self.model, self.room, self.known = model, room, {}
         self.trans = np.exp(np.array(model.trans).reshape(2, 2))
         plain = self.trans @ np.diag([1.0, np.exp(model.bias)])
-        self.runs = [np.eye(2)]  # powers, each scaled: only proportions matter
-        for _ in range(RUN):
-            x = self.runs[-1] @ plain
-            self.runs.append(x / x.sum())
+        # A power is a sum of two matrices, each with an eigenvalue's power: exact for a run of any length.
+        mid, half = np.trace(plain) / 2, np.sqrt(((plain[0, 0] - plain[1, 1]) / 2) ** 2 + plain[0, 1] * plain[1, 0])
+        self.ratio = (mid - half) / (mid + half)
+        self.lasting, self.fading = (plain - (mid - half) * np.eye(2)) / (2 * half), ((mid + half) * np.eye(2) - plain) / (2 * half)
+        self.powers: dict[int, np.ndarray] = {}
+
+    def run(self, gap: int) -> np.ndarray:
+        """What `gap` words without weights do, but for a factor: only proportions matter."""
+        if (x := self.powers.get(gap)) is None:
+            x = self.lasting + self.ratio**gap * self.fading
+            if gap < 1000:
+                self.powers[gap] = x
+        return x
 
     def weight(self, w: bytes) -> float:
         """0.0 for a word without any weight of its own."""
@@ -161,23 +170,22 @@ class Tagger:
         at = [i for i, x in enumerate(xs) if x]
         if not at:
             return []
-        bias, runs, last = self.model.bias, self.runs, len(self.runs) - 1
+        bias = self.model.bias
         steps, emits, before = [], [], -1
         for i in at:
             gap = i - before - 1
-            run = runs[min(gap, last)]  # long runs have reached their limit
             if before < 0:
                 first = np.array([1.0, np.exp(bias)])
-                steps.append(np.ones(2) if not gap else (first @ runs[min(gap - 1, last)]) @ self.trans)
+                steps.append(np.ones(2) if not gap else (first @ self.run(gap - 1)) @ self.trans)
             else:
-                steps.append(run @ self.trans)
+                steps.append(self.run(gap) @ self.trans)
             emits.append(np.array([1.0, np.exp(min(30.0, bias + xs[i]))]))
             before = i
         ahead = []
         for s, e in zip(steps, emits, strict=True):
             x = (s if not ahead else ahead[-1] @ s) * e
             ahead.append(x / x.sum())
-        back = runs[min(len(ws) - 1 - at[-1], last)] @ np.ones(2)
+        back = self.run(len(ws) - 1 - at[-1]) @ np.ones(2)
         ps = []
         for k in range(len(at) - 1, -1, -1):
             x = ahead[k] * back
@@ -224,7 +232,9 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str
     """docs with a struct column (SCHEMA): score, and the words tagged toxic (marginal of 0.5 or more) with their offsets.
 
     first is the word's number from 0, start and stop are byte offsets in the lower-cased words joined by one blank.
-    Null and empty texts get the score of a text without any marked word. Every row stays; whole texts are read.
+    Null and empty texts get the score of a text without any marked word. Every row stays; whole texts are read, however
+    long; repeated rows and ties each get the same score; an empty table gives no rows. A column named `out` is
+    replaced, others are left alone.
     """
 
     @F.pandas_udf(SCHEMA)
