@@ -1,9 +1,10 @@
 """WARC archives of pages, and their index by an external merge.
 
 Each writing task appends gzip members, one a record, to its archive and keeps what it wrote as a capture run: index
-lines sorted by (URL key, timestamp, id), in a file of fixed-size parts that can be entered at any of its marks. Key
-ranges are cut by marks of all runs, and for each range a task merges the runs' slices with a loser tree, reading ahead
-a part at a time. Segments in order of their ranges are the globally ordered capture history.
+lines sorted by (URL key, timestamp, id, place), in a file of fixed-size parts, each with a mark. A pass merges up to
+FAN_IN runs into one: their marks, in order, cut the keys into ranges of so many parts, and for each range a task merges
+the runs' parts that reach into it with a loser tree, opening a part at a time. Passes go on until one run is left; its
+ranges, in order, are the globally ordered capture history. A task holds the lines of one range, whatever the size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import hashlib
 import json
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 from itertools import islice
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import file_system, new_path, stored, write_whole
 
-PART, FAN_IN, RANGES = 1000, 64, 256
+#: Lines of a part, runs of a merge, parts that a range begins, bytes of an archive that a task reads.
+PART, FAN_IN, MARKS, SLICE = 1000, 64, 16, 8 << 20
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 LINES = "key string, ts string, id long, file string, offset long, length long"
 
@@ -95,48 +96,62 @@ class LoserTree:
             self.winner = w
 
 
+MARK = "run long, ord long, file string, key string, offset long, length long"
+
+
+def mark_rows(run: int, first: int, file: str, marks: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    """Rows of MARK; ord is their order in the run."""
+    keys, offsets, lengths = zip(*marks, strict=True)
+    cols = [run] * len(marks), range(first, first + len(marks)), [file] * len(marks), keys, offsets, lengths
+    kinds = pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["run", "ord", "file", "key", "offset", "length"])
+
+
 def _sort_key(ident: int | None) -> tuple[bool, int]:
     return (ident is not None, ident or 0)
 
 
-def write_run(uri: str, lines: Iterable[tuple]) -> tuple[list[tuple], int]:
-    """Write sorted lines (key, ts, (has id, id), ...) in compressed parts; returns the marks (first line's key, offset, length)."""
-    marks, parts, at = [], [], 0
+def write_run(uri: str, lines: Iterable[tuple]) -> list[tuple[str, int, int]]:
+    """Write sorted lines (key, ts, (has id, id), ...) in compressed parts; returns marks (a part's first line, offset, length), the last of them the last line's, of length 0."""
+    marks, at, last = [], 0, None
     lines = iter(lines)
-    while some := list(islice(lines, PART)):
-        data = zlib.compress("\n".join(json.dumps(x) for x in some).encode(), 1)
-        marks.append((json.dumps(some[0][:3]), at, len(data)))
-        at += len(data)
-        parts.append(data)
-    write_whole(uri, parts)
-    return marks, at
-
-
-def read_run(uri: str, marks: list[tuple[tuple, int, int]], lo: tuple | None, hi: tuple | None) -> Iterator[tuple]:
-    """Lines with lo <= (key, ts, id) < hi, a part at a time; None: no bound."""
-    keys = [m[0] for m in marks]
-    first = max(0, bisect_left(keys, lo) - 1) if lo is not None else 0
-    last = bisect_left(keys, hi) if hi is not None else len(keys)
-    if first >= last:
-        return
-    fs, path = file_system(uri)
-    with fs.open_input_file(path) as f:
-        for _, offset, length in marks[first:last]:
-            f.seek(offset)
-            for line in zlib.decompress(f.read(length)).decode().split("\n"):
-                key, ts, ident, *rest = json.loads(line)
-                x = (key, ts, tuple(ident))
-                if (lo is None or x >= lo) and (hi is None or x < hi):
-                    yield (*x, *rest)
+
+    def parts() -> Iterator[bytes]:
+        nonlocal at, last
+        while some := list(islice(lines, PART)):
+            data = zlib.compress("\n".join(map(json.dumps, some)).encode(), 1)
+            marks.append((json.dumps(some[0]), at, len(data)))
+            at, last = at + len(data), some[-1]
+            yield data
+
+    write_whole(uri, parts())
+    return [*marks, (json.dumps(last), at, 0)] if marks else []
+
+
+def as_line(x: str) -> tuple:
+    key, ts, ident, *rest = json.loads(x)
+    return key, ts, tuple(ident), *rest
+
+
+def read_parts(parts: Iterable[tuple[str, int, int]], lo: tuple | None, hi: tuple | None) -> Iterator[tuple]:
+    """Lines with lo <= line < hi of parts (file, offset, length) in order; a part is opened, read and closed at a time. None: no bound."""
+    for uri, offset, length in parts:
+        fs, path = file_system(uri)
+        with fs.open_input_file(path) as f:
+            data = f.read_at(length, offset)
+        for x in map(as_line, zlib.decompress(data).decode().split("\n")):
+            if (lo is None or x >= lo) and (hi is None or x < hi):
+                yield x
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", ts: str | None = None, least_bytes: int = 0, level: int = 1) -> DataFrame:
-    """Write pages as WARC files and capture runs under path; returns a row a mark of each run: (run, key, offset, length).
+    """Write pages as WARC files and capture runs under path; returns a row a mark of each run: (run, ord, file, key, offset, length).
 
     Equal payloads of least_bytes or more: the record of smallest id is a response, others are revisits of it. Where
     rows share that id as well, or have none, all without a smaller id to refer to are responses. Without a column ts a
-    page was captured its id in seconds after EPOCH. Payloads are shuffled once as digests only. A task's files have
-    names that depend on the task alone and are written whole.
+    page was captured its id in seconds after EPOCH. Firsts are found over digests alone; where revisits are too many to
+    be sent to all tasks, pages are shuffled once by id. A task's files have names that depend on the task alone and are
+    written whole.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     when = F.date_format(F.col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'") if ts else F.lit(None).cast("string")
@@ -167,47 +182,81 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
         write_whole(name, members())
         if lines:
             lines.sort()
-            marks, _ = write_run(run, lines)
-            yield pa.RecordBatch.from_arrays([pa.array([run] * len(marks)), *(pa.array(c) for c in zip(*marks, strict=True))], ["run", "key", "offset", "length"])
+            yield mark_rows(task, 0, run, write_run(run, lines))
 
-    return stored(marked.mapInArrow(write, "run string, key string, offset long, length long"), "run-marks")
+    return stored(marked.mapInArrow(write, MARK), "run-marks")
 
 
-def merge_runs(marks: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """The global index: (segment, position, LINES) with rows in (segment, position) order sorted by key, timestamp, id.
+def ranges(marks: DataFrame, per_range: int = MARKS) -> DataFrame:
+    """(into, range, lo, hi, run, ord, file, offset, length): the parts that reach into each range of the run that theirs are merged into.
 
-    Bounds are every so many of all runs' marks, in order (at most `ranges`), so ranges are even whatever the keys are,
-    a host's or a single URL's included. A range's task holds one part of each run it reads; more runs than FAN_IN are
-    merged in groups, as further levels of the same tree.
+    A range begins at every so many of the marks in order, so ranges are even whatever the keys are, a host's or a
+    single URL's included. Marks are put in order by range partitioning; only each partition's number of ranges is
+    summed up. A part reaches up to the range of its run's next mark.
     """
     spark = marks.sparkSession
-    n = marks.count()
-    step = max(1, -(-n // ranges))
-    order = Window.orderBy("k")
-    parsed = marks.select(F.struct(F.get_json_object("key", "$[0]").alias("a"), F.get_json_object("key", "$[1]").alias("b"), F.get_json_object("key", "$[2][1]").cast("long").alias("c")).alias("k"), "key")
-    cut = parsed.withColumn("i", F.row_number().over(order)).where((F.col("i") - 1) % step == 0).orderBy("k")
-    bounds = [tuple(json.loads(r["key"])) for r in cut.select("key").collect()]  # at most `ranges` rows
-    bounds = [(a, b, tuple(c)) for a, b, c in bounds]
-    runs = marks.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "key"))).alias("m"))
-    runs = stored(runs, "runs")
-    work = [(i, json.dumps(lo), json.dumps(hi)) for i, (lo, hi) in enumerate(zip([None, *bounds[1:]], [*bounds[1:], None], strict=True))] if bounds else []
-    jobs = spark.createDataFrame(work, "segment int, lo string, hi string")
-    # Each range needs every run's marks: as many rows as runs times ranges, of a few bytes a thousand lines.
-    all_runs = jobs.withColumn("x", F.lit(1)).join(runs.withColumn("x", F.lit(1)), "x").drop("x")
-
-    def merge(table: pa.Table) -> pa.Table:
-        segment = table["segment"][0].as_py()
-        as_key = lambda s: (lambda x: None if x is None else (x[0], x[1], tuple(x[2])))(json.loads(s))
-        lo, hi = as_key(table["lo"][0].as_py()), as_key(table["hi"][0].as_py())
-        sources = [read_run(r["run"], [(as_key(m["key"]), m["offset"], m["length"]) for m in r["m"]], lo, hi) for r in sorted(table.to_pylist(), key=lambda r: r["run"])]
-        while len(sources) > FAN_IN:
-            sources = [iter(LoserTree(sources[i : i + FAN_IN])) for i in range(0, len(sources), FAN_IN)]
-        rows = [(segment, i, key, ts, ident[1] if ident[0] else None, *rest) for i, (key, ts, ident, *rest) in enumerate(LoserTree(sources))]
+    get = lambda i, kind="string": F.get_json_object("key", f"$[{i}]").cast(kind)
+    order = F.struct(get(0).alias("a"), get(1).alias("b"), get("2][1", "long").alias("c"), get(3).alias("d"), get(4, "long").alias("e"))
+    sized = marks.withColumns({"into": F.floor(F.col("run") / FAN_IN), "k": order})
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(sized.repartitionByRange(tasks, "into", "k").withColumn("pid", F.spark_partition_id()), "ordered-marks")
+    at = F.row_number().over(Window.partitionBy("pid", "into").orderBy("k", "run", "ord")) - 1
+    local = stored(placed.withColumn("at", at).withColumns({"local": F.floor(F.col("at") / per_range), "starts": F.col("at") % per_range == 0}).drop("k", "at"), "marks-by-range")
+    counts = local.groupBy("into", "pid").agg((F.max("local") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("into").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("into", "pid", F.coalesce(before, F.lit(0)).alias("before"))  # a row a partition
+    numbered = stored(local.join(counts, ["into", "pid"]).withColumn("range", F.col("local") + F.col("before")), "numbered-marks")
+    lo = numbered.where("starts").select("into", "range", F.col("key").alias("lo"))
+    bounds = lo.join(lo.select("into", (F.col("range") - 1).alias("range"), F.col("lo").alias("hi")), ["into", "range"], "left")
+    bounds = bounds.withColumn("lo", F.when(F.col("range") > 0, F.col("lo")))
+    upto = F.coalesce(F.lead("range").over(Window.partitionBy("run").orderBy("ord")), "range")
+    reach = numbered.withColumn("upto", upto).where("length > 0")
+    parts = reach.select("into", F.explode(F.sequence("range", "upto")).alias("range"), "run", "ord", "file", "offset", "length")
+    return parts.join(bounds, ["into", "range"])
+
+
+def merge_runs(marks: DataFrame, path: str | None = None, per_range: int = MARKS) -> DataFrame:
+    """The global index: (segment, position, LINES) with rows in (segment, position) order sorted by key, timestamp, id.
+
+    Runs are merged FAN_IN at a time, into runs of the next pass, and the last of them into rows; a line is read once a
+    pass, but for parts at the ends of ranges. No marks: no rows.
+    """
+    path = path or new_path(marks.sparkSession, "merged")
+
+    def merged(table: pa.Table) -> tuple[int, int, Iterator[tuple]]:
+        into, number = table["into"][0].as_py(), table["range"][0].as_py()
+        lo, hi = (x and as_line(x) for x in (table["lo"][0].as_py(), table["hi"][0].as_py()))
+        runs: dict[int, list] = {}
+        for r in sorted(table.select(["run", "ord", "file", "offset", "length"]).to_pylist(), key=lambda r: (r["run"], r["ord"])):
+            runs.setdefault(r["run"], []).append((r["file"], r["offset"], r["length"]))
+        return into, number, iter(LoserTree([read_parts(x, lo, hi) for _, x in sorted(runs.items())]))
+
+    def dealt(marks: DataFrame) -> DataFrame:
+        parts = stored(ranges(marks, per_range), "range-parts")
+        n = max(1, parts.select("into", "range").distinct().count())
+        return parts.repartition(min(n, 10_000), "into", "range").groupBy("into", "range")
+
+    level = 0
+    while (last := marks.agg(F.max("run")).first()[0] or 0) >= FAN_IN:
+        level += 1
+        folder = f"{path}/pass-{level}"
+
+        def to_run(table: pa.Table) -> pa.Table:
+            into, number, lines = merged(table)
+            name = f"{folder}/run-{into}-{number:09d}.idx"
+            found = write_run(name, lines)
+            return pa.Table.from_batches([mark_rows(into, number << 32, name, found)] if found else [], mark_rows(0, 0, "", [("", 0, 0)]).schema)
+
+        marks = stored(dealt(marks).applyInArrow(to_run, MARK), f"run-marks-{level}")
+
+    def to_rows(table: pa.Table) -> pa.Table:
+        _, number, lines = merged(table)
+        rows = [(number, i, key, ts, ident[1] if ident[0] else None, *rest) for i, (key, ts, ident, *rest) in enumerate(lines)]
         cols = list(zip(*rows, strict=True)) or [[]] * 8
-        kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["segment", "position", "key", "ts", "id", "file", "offset", "length"])
 
-    return stored(all_runs.groupBy("segment").applyInArrow(merge, f"segment int, position long, {LINES}"), "index")
+    return stored(dealt(marks).applyInArrow(to_rows, f"segment long, position long, {LINES}"), "index")
 
 
 def read_archives(index: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -235,17 +284,19 @@ def read_archives(index: DataFrame, id_col: str = "page_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)], NAMES)
             out = []
 
-    KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
+    KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
     NAMES = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "segment", "position"]
-    # An archive is cut where its offsets pass 64 MB, so that one large file is read by several tasks.
-    by = index.withColumn("slice", F.floor(F.col("offset") / (64 << 20))).repartition("file", "slice").sortWithinPartitions("file", "offset")
-    return by.select("file", "offset", "length", "key", "ts", "segment", "position").mapInArrow(read, f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, ts string, segment int, position long")
+    # An archive is cut where its offsets pass SLICE, so that one large file is read by several tasks; index rows say nothing of the bytes.
+    tasks = int((index.agg(F.sum("length")).first()[0] or 0) / SLICE) + 1
+    by = index.withColumn("slice", F.floor(F.col("offset") / SLICE)).repartition(tasks, "file", "slice").sortWithinPartitions("file", "offset")
+    return by.select("file", "offset", "length", "key", "ts", "segment", "position").mapInArrow(read, f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, ts string, segment long, position long")
 
 
 def archive(pages: DataFrame, path: str | None = None, **how) -> DataFrame:
     """Write pages, merge the runs' index and read all records back; see the functions above.
 
     Every row of pages is a record: null html is an empty payload, a null URL has an empty key, null ids sort first and
-    never are revisits; repeated rows are records each. No pages: no rows.
+    never are revisits; repeated rows are records each, ordered by their places in the archives. Payloads of any length
+    are written whole. Other columns are not read. No pages: no rows.
     """
     return read_archives(merge_runs(write_archives(pages, path or new_path(pages.sparkSession, "warc"), **how)), how.get("id_col", "page_id"))
