@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,8 +35,10 @@ def lower_ascii(c):
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new local one only where that is unset and Spark is local."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = getattr(work_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='mailsonde-')}"
         work_dir.own = at
     return f"{at.rstrip('/')}/mailsonde"
