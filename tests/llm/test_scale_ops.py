@@ -224,15 +224,17 @@ def test_loser_tree_merges():
         assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(x for run in runs for x in run)
 
 
-def test_archive(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("fan_in", [64, 2])
+def test_archive(spark, tmp_path, monkeypatch, fan_in):
     monkeypatch.setattr(warc, "PART", 4)
-    monkeypatch.setattr(warc, "FAN_IN", 2)
+    monkeypatch.setattr(warc, "FAN_IN", fan_in)
+    monkeypatch.setattr(warc, "SLICE", 500)
     r = random.Random(4)
     rows = [(i, f"http://{r.choice(['a.org', 'www.b.net:8080', 'c.example'])}/p{r.randrange(5)}", r.choice(["<p>same</p>", "", None, f"<p>é {i}</p>", "x" * 5000])) for i in range(90)]
     rows += [(7, "http://a.org/again", "<p>same</p>"), (200, None, "<p>lone</p>"), (None, "odd url\r\n", "<p>same</p>"), (201, "http://x.org/\r\nEvil: 1", "q")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS id", "'x' AS key").repartition(5)
     marks = warc.write_archives(df, f"file://{tmp_path}/w")
-    index = warc.merge_runs(marks, ranges=6)
+    index = warc.merge_runs(marks, per_range=5)
     lines = index.orderBy("segment", "position").collect()
     keys = [(x["key"], x["ts"], warc._sort_key(x["id"])) for x in lines]
     assert keys == sorted(keys) and len(lines) == len(rows) and len({x["segment"] for x in lines}) > 3
