@@ -18,7 +18,7 @@ from . import scalars as S
 
 #: Extensions of the presence bitmap, by number; dialogue states in order; ports that count as standard.
 BITMAP = (0, 5, 10, 11, 13, 15, 16, 17, 18, 21, 22, 23, 27, 28, 35, 41, 42, 43, 44, 45, 49, 50, 51, 65281)
-STATES = ("S0_TCP_EST", "S1_GREETING", "S1B_CAPS_ADV", "S2_CMD", "S2_ACCEPTED", "S3_TLS_HS", "S4_ENCRYPTED")
+STATES = ("S0_TCP_EST", "S1_GREETING", "S1B_CAPS_ADV", "S2_CMD", "S2_ACCEPTED", "S3_TLS_HS", "S4_ENCRYPTED", "S_REFUSED", "S_STRIP_DETECTED")
 PORTS = (25, 110, 143, 465, 587, 993, 995)
 HASHED = 32
 

@@ -55,7 +55,6 @@ def detect(decoded: DataFrame, known: DataFrame | None = None, baselines: DataFr
     sentinel = F.substring(random, 25, 8).isin(*[F.lit(s) for s in SENTINELS])
     lower = F.array_contains(versions, 0x0304) & (F.col("tls.server_hello.selected_version") <= 0x0302)
     secret = credential_line(F.col("c2s_payload"), salt)
-    # A threshold keeps the edit distance of very different banners cheap to tell: -1 is above it.
     apart = F.levenshtein("baseline", banner)
     rules = F.array(
         found("D1_CAPABILITY_STRIP", "CRITICAL", F.col("server_port").isin(*EXPLICIT_PORTS) & banner.isNotNull() & ~offers_upgrade(F.col("fsm.advertised_capabilities")) & F.col("__known"), F.array_join("fsm.advertised_capabilities", "|")),

@@ -1,7 +1,8 @@
 """Packets to sessions: network and transport headers, fragments, reassembly.
 
 Headers are parsed in Arrow batches and only mail ports go on. Flows are shuffled by their order-free key and each is
-rebuilt by one call, its packets in order of their number, never of their clock. Payloads are cut before the shuffle.
+rebuilt by one call, its packets in order of their number, never of their clock. Sessions' buffers are bounded; what a
+segment holds beyond `keep` bytes is cut before the shuffle.
 A flow's own silence ends a session: a rule that does not depend on other flows, partitioning or row order.
 """
 

@@ -15,7 +15,7 @@ from ..functions import scalars as S
 from ..functions.features import hashed, imputed
 from ..operators import corpus, decode, detectors, flow, governance, overview, profile, relational, search
 from ..sources import sinks
-from ..sources.adapters import packets_from_conversations
+from ..sources.adapters import packets_from_conversations, packets_of_dialogues
 from ..sources.tables import SESSIONS_SQL, epoch, sessions_from_events, table
 from . import rules
 
@@ -373,9 +373,10 @@ def email_count(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(S.EMAIL), F.lit(0))).alias("n"))
 
 
-@query()
+@query(r"""WITH x AS (SELECT doc_id, text, list_sort(list_transform(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')), lambda e: {'n': -len(e), 'e': e})) AS found FROM documents WHERE contains(text, '@'))
+SELECT doc_id, regexp_replace(list_reduce(list_transform(found, lambda v: v.e), lambda t, e: replace(t, e, substr(sha256('salt' || lower(e)), 1, 16) || '@' || string_split(e, '@')[-1]), text), '(?i)\b(AUTH PLAIN|AUTH LOGIN|PASS|USER)[ \t]+[^\s]+', '\1 [REDACTED]', 'g') AS text FROM x""")
 def email_redaction(spark, d):
-    """Salted hashes of local parts; no engine but Spark makes them alike, so rows only."""
+    """Salted hashes of local parts."""
     x = table(spark, d, "documents").where(F.contains(F.col("text"), F.lit("@")))
     return x.select("doc_id", S.redact(F.col("text"), "salt").alias("text"))
 
@@ -484,6 +485,25 @@ def decode_sessions(spark, d):
     return detectors.detect(s).select("capture_id", F.col("cls.protocol").alias("protocol"), F.col("fsm.state").alias("state"), "protocol_version", F.array_join(F.transform("detections", lambda x: x["rule_id"]), ",").alias("detections"))
 
 
+@query("""WITH x AS (SELECT DISTINCT doc_id, doc_id % 8 AS k, 49152 + doc_id % 500 AS cipher FROM documents WHERE doc_id IS NOT NULL), c AS (SELECT *, k IN (0, 4, 6, 7) AS client, k IN (0, 4, 7) AS server FROM x)
+SELECT doc_id, CASE k WHEN 7 THEN 'IMAP' ELSE 'SMTP' END AS protocol, CASE WHEN k >= 6 THEN 'IMPLICIT' ELSE 'EXPLICIT' END AS mode,
+['S4_ENCRYPTED', 'S_STRIP_DETECTED', 'S_REFUSED', 'S1B_CAPS_ADV', 'S4_ENCRYPTED', 'S2_CMD', 'S3_TLS_HS', 'S4_ENCRYPTED'][k + 1] AS state, CASE WHEN k = 7 THEN 'TLS 1.3' WHEN client THEN 'TLS 1.2' ELSE 'NONE' END AS protocol_version,
+CASE WHEN client THEN 'mail.example.org' END AS sni, CASE WHEN server THEN CAST(cipher AS INTEGER) END AS cipher, CASE WHEN client THEN md5('771,4865-' || cipher || ',0-10-11-13-23-43,29-23,0') END AS ja3, CASE WHEN server THEN md5('771,' || cipher || ',65281' || CASE WHEN k = 7 THEN '-43' ELSE '' END) END AS ja3s,
+CASE WHEN client THEN 't13d020600_' || substr(sha256('1301,' || printf('%04x', cipher)), 1, 12) || '_' || substr(sha256('000a,000b,000d,0017,002b_0403,0804'), 1, 12) END AS ja4,
+CASE WHEN k = 7 THEN 't130200_' || printf('%04x', cipher) || '_' || substr(sha256('ff01,002b'), 1, 12) WHEN server THEN 't120100_' || printf('%04x', cipher) || '_' || substr(sha256('ff01'), 1, 12) END AS ja4s,
+client AS extended_master_secret, server AS secure_renegotiation, false AS encrypt_then_mac, CASE WHEN k IN (0, 4) THEN 500.0::DOUBLE END AS upgrade_ms,
+['', 'D4_POST220_PLAINTEXT,D9_MTA_STS_VIOLATION', 'D3_EXPLICIT_REFUSAL,D5_CLEARTEXT_CREDENTIALS,D9_MTA_STS_VIOLATION', 'D1_CAPABILITY_STRIP,D9_MTA_STS_VIOLATION', 'D6_TLS_DOWNGRADE', 'D2_SILENT_FAILURE,D9_MTA_STS_VIOLATION', 'D7_HANDSHAKE_BLACKHOLE', ''][k + 1] AS detections FROM c""")
+def mail_dialogues(spark, d):
+    """Eight kinds of dialogues, TLS records and all, from packets to states, fingerprints and detections."""
+    ids = table(spark, d, "documents").where("doc_id is not null").select("doc_id").distinct()
+    policies = spark.createDataFrame([("Me.Example.net.", "enforce")], "domain string, mode string")
+    x = detectors.detect(decode.decoded(flow.sessions(packets_of_dialogues(ids, "doc_id"))), policies=policies, salt="x")
+    return x.select(
+        F.regexp_extract("capture_id", r"(\d+)$", 1).cast("long").alias("doc_id"), F.col("cls.protocol").alias("protocol"), F.col("cls.mode").alias("mode"), F.col("fsm.state").alias("state"), "protocol_version", F.col("tls.client_hello.server_name").alias("sni"),
+        F.col("tls.server_hello.selected_cipher").alias("cipher"), "ja3", "ja3s", "ja4", "ja4s", "extended_master_secret", "secure_renegotiation", "encrypt_then_mac", F.round("fsm.upgrade_latency_ms", 3).alias("upgrade_ms"), F.array_join(F.transform("detections", lambda v: v["rule_id"]), ",").alias("detections"),
+    )
+
+
 FIRST_BYTES = "CASE doc_id % 5 WHEN 0 THEN '220 ' WHEN 1 THEN '+OK ' WHEN 2 THEN '* OK ' ELSE '' END"
 
 
@@ -554,7 +574,16 @@ def misp_attributes(spark, d):
     return sinks.misp_attributes(sessions(spark, d)).select("type", "value", "to_ids")
 
 
-@query()
+STIX_ID = "'{0}--' || (SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT sha1('@ns|{0}|' || {1}) AS h))".replace("@ns", sinks.STIX_NAMESPACE)
+
+
+@query(f"""WITH @sessions, k AS (SELECT *, strftime(make_timestamp(CAST(floor(first_seen) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS seen, {STIX_ID.format("ipv4-addr", "client_ip")} AS a, {STIX_ID.format("ipv4-addr", "server_ip")} AS b,
+{STIX_ID.format("network-traffic", "id")} AS t, {STIX_ID.format("indicator", "id")} AS i, {STIX_ID.format("relationship", "id")} AS r FROM sessions),
+o AS (SELECT a AS id, '{{"type":"ipv4-addr","spec_version":"2.1","id":"' || a || '","value":"' || client_ip || '"}}' AS object FROM k UNION SELECT b, '{{"type":"ipv4-addr","spec_version":"2.1","id":"' || b || '","value":"' || server_ip || '"}}' FROM k
+UNION SELECT t, '{{"type":"network-traffic","spec_version":"2.1","id":"' || t || '","src_ref":"' || a || '","dst_ref":"' || b || '","dst_port":' || server_port || ',"protocols":["tcp","' || lower(protocol) || '"]}}' FROM k
+UNION SELECT i, '{{"type":"indicator","spec_version":"2.1","id":"' || i || '","created":"' || seen || '","modified":"' || seen || '","valid_from":"' || seen || '","pattern_type":"stix","pattern":"[ipv4-addr:value = ''' || server_ip || ''']"}}' FROM k WHERE risk_score >= 60
+UNION SELECT r, '{{"type":"relationship","spec_version":"2.1","id":"' || r || '","created":"' || seen || '","modified":"' || seen || '","relationship_type":"based-on","source_ref":"' || i || '","target_ref":"' || t || '"}}' FROM k WHERE risk_score >= 60)
+SELECT id, object FROM o""")
 def stix_objects(spark, d):
     return sinks.stix_objects(sessions(spark, d))
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import PACKETS as PACKETS_DDL
+
 SEGMENT, STEP, EPOCH = 97, 0.001, 1_700_000_000.0
 PACKETS = pa.schema([("capture_id", pa.string()), ("index", pa.int64()), ("ts", pa.float64()), ("caplen", pa.int32()), ("wirelen", pa.int32()), ("vlan_id", pa.int32()), ("payload", pa.binary())])
 
@@ -53,6 +55,61 @@ def packets_from_conversations(conversations: DataFrame) -> DataFrame:
         sizes = [len(p) for p in out]
         return pa.table([[name] * n, list(range(n)), [EPOCH + STEP * i for i in range(n)], sizes, sizes, pa.nulls(n, pa.int32()), out], schema=PACKETS)
 
-    from ..schemas import PACKETS as ddl
+    return conversations.select("conv_id", "turn", "role", F.col("text")).groupBy("conv_id").applyInArrow(build, PACKETS_DDL)
+
+
+def _sized(n: int, body: bytes) -> bytes:
+    return len(body).to_bytes(n, "big") + body
+
+
+def _record(kind: int, body: bytes, version: int = 0x0303) -> bytes:
+    return struct.pack(">BH", kind, version) + _sized(2, body)
+
+
+def _hello(kind: int, body: bytes, extensions: list[tuple[int, bytes]]) -> bytes:
+    exts = b"".join(k.to_bytes(2, "big") + _sized(2, x) for k, x in extensions)
+    return _record(22, bytes([kind]) + _sized(3, b"\x03\x03" + body + _sized(2, exts)))
+
+
+def client_hello(ciphers: list[int], host: bytes) -> bytes:
+    numbers = lambda *xs: b"".join(x.to_bytes(2, "big") for x in xs)
+    exts = [(0, _sized(2, b"\0" + _sized(2, host))), (10, _sized(2, numbers(29, 23))), (11, _sized(1, b"\0")), (13, _sized(2, numbers(0x0403, 0x0804))), (23, b""), (43, _sized(1, numbers(0x0304, 0x0303)))]
+    return _hello(1, b"r" * 32 + _sized(1, b"") + _sized(2, numbers(*ciphers)) + _sized(1, b"\0"), exts)
+
+
+def server_hello(cipher: int, random: bytes, selected: int | None) -> bytes:
+    exts = [(65281, b"\0")] + ([(43, selected.to_bytes(2, "big"))] if selected else [])
+    return _hello(2, random + _sized(1, b"") + cipher.to_bytes(2, "big") + b"\0", exts)
+
+
+def mail_turns(n: int) -> tuple[int, list[tuple[str, bytes]]]:
+    """(server's port, (side, bytes) in order) of the n-th dialogue, of eight kinds: what it offers and asks, and what becomes of it."""
+    kind, cipher = n % 8, 0xC000 + n % 500
+    greeting, asks = [("s", b"220 mx.example.org ESMTP\r\n"), ("c", b"EHLO me.example.net\r\n")], [("c", b"STARTTLS\r\n")]
+    offers, accepts = [("s", b"250-mx.example.org\r\n250 STARTTLS\r\n")], [("s", b"220 go\r\n")]
+    hello, done = client_hello([0x1301, cipher], b"mail.example.org"), _record(20, b"\1") + _record(22, b"x" * 40)
+    shake = lambda random=b"s" * 32, selected=None: [("c", hello), ("s", server_hello(cipher, random, selected)), ("c", done), ("s", done), ("c", _record(23, b"data"))]
+    ready = greeting + offers + asks + accepts
+    turns = (
+        ready + shake(), ready + [("c", b"MAIL FROM:<a@b.org>\r\n")], greeting + offers + asks + [("s", b"454 no\r\n"), ("c", b"AUTH PLAIN AGEAYg==\r\n")], greeting + [("s", b"250 SIZE\r\n")],
+        ready + shake(b"s" * 24 + b"DOWNGRD\1"), greeting + offers + asks, [("c", hello)], shake(selected=0x0304),
+    )[kind]
+    return {6: 465, 7: 993}.get(kind, 25), turns
+
+
+def packets_of_dialogues(ids: DataFrame, name: str) -> DataFrame:
+    """Packets of one mail dialogue for each number in the column `name`, which gives its kind, its cipher and the client's address."""
+
+    def build(batches):
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                port, turns = mail_turns(n)
+                ends = {"c": (struct.pack(">I", 0x0A000000 | n & 0xFFFFFF), 40_000), "s": (b"\xac\x10\x00\x19", port)}
+                seq, out = {"c": 1000, "s": 5000}, []
+                for side, flags, data in [("c", 2, b""), ("s", 18, b""), *[(s, 24, x) for s, x in turns], ("c", 17, b""), ("s", 17, b"")]:
+                    out.append(_packet(*ends[side], *ends["s" if side == "c" else "c"], seq[side], flags, data))
+                    seq[side] += len(data) + bool(flags & 3)
+                sizes = [len(p) for p in out]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([[f"dialogue-{n}"] * len(out), range(len(out)), [EPOCH + 0.25 * i for i in range(len(out))], sizes, sizes, [None] * len(out), out], PACKETS.types, strict=True)], PACKETS.names)
 
-    return conversations.select("conv_id", "turn", "role", F.col("text")).groupBy("conv_id").applyInArrow(build, ddl)
+    return ids.select(F.col(name).cast("long")).mapInArrow(build, PACKETS_DDL)

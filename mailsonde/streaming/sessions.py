@@ -94,4 +94,4 @@ def flows(segments: DataFrame, ports=flow.MAIL_PORTS, limit: int = flow.HANDSHAK
         state.update((pickle.dumps(held),))
         state.setTimeoutTimestamp(max(int((max(r["ts"] for r in held) + idle) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    return keyed.groupBy("capture_id", "lo", "hi").applyInPandasWithState(step, f"capture_id string, {REASSEMBLED}", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("capture_id", "lo", "hi", "vlan").applyInPandasWithState(step, f"capture_id string, {REASSEMBLED}", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
