@@ -126,7 +126,7 @@ class Encoder:
     with other steps gets whole texts.
     """
 
-    def __init__(self, path: str, end: int | None, room: int = 1_500_000):  # about 0.3 GB
+    def __init__(self, path: str, end: int | None, room: int = 600_000):  # about 0.12 GB
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -223,7 +223,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
         from pyspark import TaskContext
 
         task, encode = TaskContext.get().partitionId(), encoder(vocabulary, end)
-        coded = encode(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        coded = encode((d.as_py(), t.as_py()) for b in batches for d, t in zip(*b.columns, strict=True))  # a text at a time
         done, made = False, []
         while not done:
             part, size = [], 0
