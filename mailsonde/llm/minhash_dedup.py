@@ -46,7 +46,7 @@ def _permute32(x: np.ndarray, m1: int, m2: int) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams; word hashes are remembered up to a bound."""
 
-    def __init__(self, n: int, split=space_words, room: int = 500_000):
+    def __init__(self, n: int, split=space_words, room: int = 250_000):
         import xxhash
 
         self.n, self.split, self.room, self.hash, self.known = n, split, room, xxhash.xxh3_64_intdigest, {}
@@ -105,9 +105,9 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, by_letters: bool
 
         for b in batches:
             ids, sets, held = [], [], 0
-            for d, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingle(t)
-                ids.append(d)
+            for d, t in zip(*b.columns, strict=True):  # a text at a time
+                s = shingle(t.as_py())
+                ids.append(d.as_py())
                 sets.append(s)
                 if (held := held + len(s)) > 60_000:  # what fits a core's cache
                     yield out(ids, sets)
@@ -126,7 +126,7 @@ def shingle_sets(docs: DataFrame, n: int, by_letters: bool) -> DataFrame:
 
         shingle = Shingler(n, all_words if by_letters else space_words)
         for b in batches:
-            sets = [shingle(t).tobytes() for t in b.column(1).to_pylist()]
+            sets = [shingle(t.as_py()).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "s"])
 
     return docs.mapInArrow(run, "id long, digest binary, s binary")
