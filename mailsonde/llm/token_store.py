@@ -177,7 +177,7 @@ class Encoder:
         ids = self.known[piece] = array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
         return ids
 
-    def __call__(self, texts: Iterable[tuple[int | None, bytes | None]], many: int = 500_000) -> Iterator[tuple[int | None, bytes]]:
+    def __call__(self, texts: Iterable[tuple[int | None, bytes | None]], many: int = 200_000) -> Iterator[tuple[int | None, bytes]]:
         """(id, ids as little-endian u32) of each (id, UTF-8 text)."""
         held, some = [], []
         for d, t in texts:
@@ -190,7 +190,7 @@ class Encoder:
         yield from self._cut(held, some)
 
     def _cut(self, held: list[tuple[int | None, int]], some: list[bytes]) -> Iterator[tuple[int | None, bytes]]:
-        ids = [x for a in range(0, len(some), 400_000) for x in self.pieces(some[a : a + 400_000])]
+        ids = [x for a in range(0, len(some), 200_000) for x in self.pieces(some[a : a + 200_000])]
         at = 0
         for d, n in held:
             yield d, b"".join(ids[at : at + n]) + self.end
@@ -209,7 +209,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int | None = 2, segment_ids: int = 4_000_000, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int | None = 2, segment_ids: int = 2_000_000, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text and write segments in ascending doc_id order; returns a row a file: (file, docs, ids).
 
     Range partitioning by id alone (its samples go to the driver: ids, no texts) gives each task a run of doc_ids, sorted; a task cuts its run into segments of about segment_ids
