@@ -88,3 +88,18 @@ def dane_match(usage_selector: Column, matching: Column, data: Column, cert: Col
     source = F.when(usage_selector == 0, cert).when(usage_selector == 1, spki)
     have = F.when(matching == 0, F.lower(F.hex(source))).when(matching == 1, F.sha2(source, 256)).when(matching == 2, F.sha2(source, 512))
     return F.coalesce(have == F.lower(data), F.lit(False))
+
+
+def dane(sessions: DataFrame, records: DataFrame, host: str, port: str, cert: str, spki: str, transport: str = "tcp") -> DataFrame:
+    """sessions with dane: struct(n_records, n_matching) of the TLSA records for their host, port and transport.
+
+    records: (domain, port, protocol, selector, matching, data). They are gathered per name before the join, so that each
+    session stays one row however many records it has; without records both counts are 0. Names compare trimmed and in
+    any case.
+    """
+    clean = lambda c: F.lower(F.trim(F.col(c)))
+    r = records.where(F.lower("protocol") == transport).groupBy(clean("domain").alias("__host"), F.col("port").alias("__port")).agg(F.collect_list(F.struct("selector", "matching", "data")).alias("__records"))
+    joined = sessions.join(r, (clean(host) == F.col("__host")) & (F.col(port) == F.col("__port")), "left")
+    found = F.coalesce("__records", F.array().cast("array<struct<selector:int,matching:int,data:string>>"))
+    good = F.filter(found, lambda x: dane_match(x["selector"], x["matching"], x["data"], F.col(cert), F.col(spki)))
+    return joined.withColumn("dane", F.struct(F.size(found).alias("n_records"), F.size(good).alias("n_matching"))).drop("__host", "__port", "__records")

@@ -111,5 +111,29 @@ def compliance(sessions: DataFrame, controls: dict[str, tuple[Column, Column]])
     return counts.join(ids, "control", "left").select("control", "n_applies", "n_fails", F.coalesce("failing_ids", F.array().cast("array<long>")).alias("failing_ids"), status.alias("status"))
 
 
+#: The six controls' names, in order, and the states in which nothing was encrypted.
+CONTROLS = ("NIST-800-52r2-3.1", "NIST-800-52r2-3.3.1", "NIST-800-57-5.6.1", "PCI-DSS-4.2.1", "RFC-8461-MTA-STS", "RFC-7672-DANE")
+UNPROTECTED = ("S_PLAINTEXT", "S_REFUSED")
+
+
+def mail_controls(dane: Column | None = None) -> dict[str, tuple[Column, Column]]:
+    """The six controls for compliance(), over scored sessions (components, vetoes, band, starttls_state, protocol).
+
+    Versions, suites, strength of 112 bits, risk or stripping, and for SMTP alone a policy that is kept and TLSA records.
+    dane: false where a session's records do not match; without it that control never fails.
+    """
+    smtp, every = F.col("protocol") == "SMTP", F.lit(True)
+    part = lambda k: F.coalesce(F.try_element_at("components", F.lit(k)), F.lit(0))
+    fails = (
+        (every, (part("protocol_version") > 20) | _is(UNPROTECTED)),
+        (every, (part("key_exchange") >= 50) | (part("cipher_hash") >= 50)),
+        (every, F.exists("vetoes", lambda v: v["rule_id"] == "NIST-MIN-STRENGTH")),
+        (every, F.col("band").isin("HIGH_RISK", "CRITICAL") | _is(STRIPPED)),
+        (smtp, _is(STRIPPED + UNPROTECTED)),
+        (smtp, F.lit(False) if dane is None else ~dane),
+    )
+    return dict(zip(CONTROLS, fails, strict=True))
+
+
 def custody_bounds(sessions: DataFrame, duration: str) -> DataFrame:
     return sessions.agg(F.min("first_seen").alias("evidence_from"), F.max(F.col("first_seen") + F.col(duration)).alias("evidence_to"), F.count("*").alias("n_sessions"))

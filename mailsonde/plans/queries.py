@@ -238,6 +238,38 @@ def remediation_top5(spark, d):
     return overview.top_remediations(f).drop("severity")
 
 
+MAIL_CONTROLS_SQL = """WITH @sessions, c AS (
+  SELECT 'NIST-800-52r2-3.1' AS control, id, true AS applies, risk_score % 41 > 20 AS fails FROM sessions
+  UNION ALL SELECT 'NIST-800-52r2-3.3.1', id, true, risk_score % 61 >= 50 OR risk_score * 3 % 71 >= 50 FROM sessions
+  UNION ALL SELECT 'NIST-800-57-5.6.1', id, true, risk_score % 13 = 0 FROM sessions
+  UNION ALL SELECT 'PCI-DSS-4.2.1', id, true, risk_score >= 60 OR starttls_state = 'S_STRIP_DETECTED' FROM sessions
+  UNION ALL SELECT 'RFC-8461-MTA-STS', id, id % 2 = 0, id % 2 = 0 AND starttls_state = 'S_STRIP_DETECTED' FROM sessions
+  UNION ALL SELECT 'RFC-7672-DANE', id, id % 2 = 0, id % 2 = 0 AND risk_score % 7 = 0 FROM sessions)
+SELECT control, count(*) FILTER (applies) AS n_applies, count(*) FILTER (fails) AS n_fails, coalesce(array_to_string(list_sort(list(id) FILTER (fails))[1:10], ','), '') AS failing_ids,
+CASE WHEN count(*) FILTER (applies) = 0 THEN 'NA' WHEN count(*) FILTER (fails) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM c GROUP BY control"""
+
+
+@query(MAIL_CONTROLS_SQL)
+def mail_controls(spark, d):
+    """The six controls, over sessions whose component scores follow from their risk; every second one is SMTP."""
+    risk = F.col("risk_score")
+    parts = F.create_map(F.lit("protocol_version"), risk % 41, F.lit("key_exchange"), risk % 61, F.lit("cipher_hash"), risk * 3 % 71)
+    vetoes = F.array_compact(F.array(F.when(risk % 13 == 0, F.struct(F.lit("NIST-MIN-STRENGTH").alias("rule_id"), F.lit(90).alias("floor")))))
+    s = sessions(spark, d).withColumns({"components": parts, "vetoes": vetoes, "band": S.band(risk), "protocol": F.when(F.col("id") % 2 == 0, "SMTP").otherwise("IMAP")})
+    return overview.compliance(s, overview.mail_controls(risk % 7 != 0)).withColumn("failing_ids", F.array_join("failing_ids", ","))
+
+
+@query("""WITH r AS (SELECT lower(p_brand) AS domain, p_size AS port, sha256(p_name) AS data FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT lower(p_brand), p_size, sha512 FROM (SELECT p_brand, p_size, sha256('other' || p_name) AS sha512 FROM part WHERE p_partkey % 5 = 0))
+SELECT p_partkey, CAST(count(r.domain) AS INTEGER) AS n_records, CAST(count(*) FILTER (r.data = sha256(p_name)) AS INTEGER) AS n_matching FROM part LEFT JOIN r ON r.domain = lower(p_brand) AND r.port = p_size GROUP BY p_partkey""")
+def dane_lookup(spark, d):
+    """TLSA records of a name, port and transport: how many there are, and how many match."""
+    p = table(spark, d, "part")
+    record = lambda rows, data: rows.select(F.concat(F.lit(" "), "p_brand").alias("domain"), F.col("p_size").alias("port"), F.lit("TCP").alias("protocol"), F.lit(1).alias("selector"), F.lit(1).alias("matching"), F.upper(F.sha2(data, 256)).alias("data"))
+    records = record(p.where("p_partkey % 3 = 0"), F.col("p_name")).unionByName(record(p.where("p_partkey % 5 = 0"), F.concat(F.lit("other"), "p_name")))
+    s = p.select("p_partkey", "p_brand", "p_size", F.lit(b"").alias("der"), F.col("p_name").cast("binary").alias("spki"))
+    return detectors.dane(s, records, "p_brand", "p_size", "der", "spki").select("p_partkey", "dane.n_records", "dane.n_matching")
+
+
 # -- scoring
 
 PRICE_SQL = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 2 AS p, CAST(floor(l_discount * 1000) AS BIGINT) % 101 AS c, CAST(floor(l_tax * 1000) AS BIGINT) % 101 AS k, l_linenumber * 10 AS h, l_returnflag = 'R' AS cred, CASE WHEN l_linestatus = 'O' THEN 465 ELSE 25 END AS port, CASE WHEN l_quantity >= 50 THEN 90 END AS veto FROM lineitem"
@@ -504,6 +536,21 @@ def mail_dialogues(spark, d):
     )
 
 
+@query("""WITH x AS (SELECT DISTINCT doc_id, doc_id % 8 AS k, doc_id % 500 % 3 = 1 AS weak FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT *, CASE WHEN k IN (1, 3, 5) THEN 31 WHEN k = 2 THEN 100 WHEN k = 6 THEN 11 WHEN weak THEN 90 ELSE 0 END AS risk_score FROM x)
+SELECT doc_id, CAST(risk_score AS INTEGER) AS risk_score, CASE WHEN risk_score = 31 THEN 'ACCEPTABLE' WHEN risk_score >= 90 THEN 'CRITICAL' ELSE 'SECURE' END AS band, CASE WHEN k IN (0, 4, 7) THEN CASE doc_id % 500 % 3 WHEN 0 THEN 'ECDHE' WHEN 1 THEN 'RSA' END END AS kex_algorithm,
+CASE WHEN k IN (0, 4, 7) AND doc_id % 500 % 3 = 0 THEN 'x25519' END AS named_group,
+CASE WHEN k IN (1, 3, 5) THEN 'PROTO-NO-TLS-PLAIN' WHEN k = 2 THEN 'PROTO-NO-TLS-AUTH' WHEN k = 6 THEN 'HYGIENE-INCOMPLETE-HANDSHAKE,HYGIENE-INSECURE-RENEG'
+WHEN weak THEN 'CIPHER-3DES,CIPHER-CBC-NO-ETM,HASH-SHA1-MAC,KEX-STATIC-RSA' || CASE WHEN k = 7 THEN '' ELSE ',PROTO-TLS12-LEGACY' END || ',NIST-MIN-STRENGTH' ELSE '' END AS rules FROM r""")
+def captured_risk(spark, d):
+    """From packets to scores: dialogues as in mail_dialogues, with a strong, a weak or an unknown suite chosen."""
+    ids = table(spark, d, "documents").where("doc_id is not null").select("doc_id").distinct()
+    name = F.when(F.col("id") % 3 == 0, "TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256").when(F.col("id") % 3 == 1, "TLS_RSA_WITH_3DES_EDE_CBC_SHA")
+    suites = spark.range(500).where("id % 3 < 2").select(F.hex(F.col("id") + 49152).alias("id"), name.alias("name"))
+    x = rules.score(rules.parameters(decode.decoded(flow.sessions(packets_of_dialogues(ids, "doc_id"))), suites))
+    return x.select(F.regexp_extract("capture_id", r"(\d+)$", 1).cast("long").alias("doc_id"), "risk_score", "band", "kex_algorithm", "named_group", F.array_join(F.transform("provenance", lambda v: v["rule_id"]), ",").alias("rules"))
+
+
 FIRST_BYTES = "CASE doc_id % 5 WHEN 0 THEN '220 ' WHEN 1 THEN '+OK ' WHEN 2 THEN '* OK ' ELSE '' END"
 
 

@@ -78,3 +78,30 @@ def test_hashed_documents_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["fp_hash"] for r in hashed_documents(spark, str(tmp_path)).collect()}
     assert got[1] == got[2] != got[5] and got[3] == got[4] == ",".join(["0.0"] * 32)
+
+
+def test_captured_sessions_take_their_leaf_and_its_chain_into_the_score(spark):
+    from mailsonde.plans import rules
+    from mailsonde.sources.adapters import packets_of_dialogues
+
+    suites = spark.createDataFrame([("0xC000", "TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256")], "id string, name string")
+    decoded = decode.decoded(flow.sessions(packets_of_dialogues(spark.range(2).select(F.col("id").alias("doc_id")), "doc_id")))
+    leaf = "named_struct('fingerprint_sha256', 'f', 'public_key_algorithm', 'RSA', 'public_key_bits', 1024, 'signature_hash', 'SHA1', 'lifetime_days', 900, 'is_self_signed', false, 'is_ca', false, 'path_length_known', false, 'san_count', 0, 'sct_count', 0)"
+    decoded = decoded.withColumn("cert", F.expr(leaf)).withColumn("tls", F.col("tls").withField("certificates_observable", F.lit(True)))
+    chains = spark.sql(f"SELECT 'f' AS fingerprint_sha256, CAST(named_struct('is_valid', false, 'anchor_source', null, 'ocsp_status', 'UNKNOWN', 'crl_status', 'REVOKED', 'errors', array('CERT_EXPIRED', 'UNTRUSTED_ROOT')) AS {rules.CHAIN}) AS chain")
+    got = {r["capture_id"]: r for r in rules.score(rules.parameters(decoded, suites, chains.unionByName(chains))).collect()}
+    assert len(got) == 2 and got["dialogue-0"]["risk_score"] == 100
+    fired = {x["rule_id"] for x in got["dialogue-0"]["provenance"] if x["component"] == "certificate"}
+    assert fired == {"CERT-EXPIRED", "CERT-UNTRUSTED-CHAIN", "CERT-REVOKED", "CERT-RSA-1024", "CERT-SIG-SHA1", "CERT-LIFETIME-825", "CERT-NO-SAN", "CERT-NO-SCT"}
+    alone = {r["capture_id"]: r for r in rules.score(rules.parameters(decoded, suites)).collect()}
+    assert "CERT-EXPIRED" not in {x["rule_id"] for x in alone["dialogue-0"]["provenance"]}
+
+
+def test_tlsa_records_count_per_name_port_and_transport(spark):
+    from mailsonde.operators import detectors
+
+    key = hashlib.sha512(b"k").hexdigest()
+    records = spark.createDataFrame([("MX.org ", 25, "tcp", 1, 2, key.upper()), ("mx.org", 25, "tcp", 1, 2, "00"), ("mx.org", 25, "tcp", 7, 1, key), ("mx.org", 25, "udp", 1, 2, key), ("mx.org", 587, "tcp", 1, 0, "6b")], "domain string, port int, protocol string, selector int, matching int, data string")
+    s = spark.createDataFrame([(1, " mx.ORG", 25), (2, "mx.org", 587), (3, "other.org", 25), (4, None, 25)], "id int, host string, port int").withColumns({"c": F.lit(b"c"), "k": F.lit(b"k")})
+    got = {r["id"]: tuple(r["dane"]) for r in detectors.dane(s, records, "host", "port", "c", "k").collect()}
+    assert got == {1: (3, 1), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
