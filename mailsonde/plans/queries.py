@@ -558,7 +558,7 @@ FIRST_BYTES = "CASE doc_id % 5 WHEN 0 THEN '220 ' WHEN 1 THEN '+OK ' WHEN 2 THEN
 SELECT doc_id, CASE pre WHEN '220 ' THEN 'SMTP' WHEN '+OK ' THEN 'POP3' WHEN '* OK ' THEN 'IMAP' ELSE CASE port WHEN 25 THEN 'SMTP' WHEN 465 THEN 'SMTP' WHEN 995 THEN 'POP3' ELSE 'UNKNOWN' END END AS protocol,
 CASE WHEN pre <> '' THEN 'EXPLICIT' ELSE CASE port WHEN 25 THEN 'EXPLICIT' WHEN 465 THEN 'IMPLICIT' WHEN 995 THEN 'IMPLICIT' ELSE 'UNKNOWN' END END AS mode, CASE WHEN pre <> '' THEN 'content' ELSE 'port' END AS detected_by, port <> 9999 AS port_is_standard FROM x""")
 def classify_first_bytes(spark, d):
-    """Greetings before documents' texts, on four ports."""
+    """Greetings as first bytes, on four ports; ids pick them, no text is read."""
     port = F.element_at(F.array(*map(F.lit, (25, 465, 995, 9999))), (F.col("doc_id") % 4 + 1).cast("int"))
     first = F.concat(F.expr(FIRST_BYTES), F.lit("words")).cast("binary")
     x = table(spark, d, "documents").select("doc_id", decode.classify(port, first, F.lit(b"")).alias("c"))
