@@ -119,7 +119,7 @@ UNPROTECTED = ("S_PLAINTEXT", "S_REFUSED")
 def mail_controls(dane: Column | None = None) -> dict[str, tuple[Column, Column]]:
     """The six controls for compliance(), over scored sessions (components, vetoes, band, starttls_state, protocol).
 
-    Versions, suites, strength of 112 bits, risk or stripping, and for SMTP alone a policy that is kept and TLSA records.
+    Versions, suites, strength of 112 bits, risk (HIGH_RISK and CRITICAL) or stripping, and for SMTP alone a policy that is kept and TLSA records.
     dane: false where a session's records do not match; without it that control never fails.
     """
     smtp, every = F.col("protocol") == "SMTP", F.lit(True)
