@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, licenses, minhash_dedup, mixing, substring_dedup, token_store, toxicity, warc
+from . import alignment, decontaminate, embedding_dedup, html_extract, licenses, minhash_dedup, mixing, secrets, substring_dedup, token_store, toxicity, warc
 from .common import table
 
 
@@ -59,8 +59,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train(docs))
+    spans = F.transform("secrets.spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
+    return found.select("doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex", "secrets.base_sha256", F.array_join(spans, ",").alias("spans"), "secrets.n_candidates")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_license_scan, op2_mix_sources, op3_token_store, op4_html_extract, op5_decontaminate, op6_substring_dedup, op7_embedding_dedup, op8_minhash_dedup, op9_toxicity, op10_warc)
+    found = (op1_license_scan, op2_mix_sources, op3_token_store, op4_html_extract, op5_decontaminate, op6_substring_dedup, op7_embedding_dedup, op8_minhash_dedup, op9_toxicity, op10_warc, op11_secret_scan, op13_token_alignment)
     return {f.__name__: f for f in found}
 
 

@@ -18,6 +18,8 @@ TYPES = {
     "op7_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op8_minhash_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op13_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     "op10_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
 }
 
