@@ -63,6 +63,10 @@ REJECT = {"SMTP": re.compile(rb"[45]\d\d"), "POP3": re.compile(rb"-ERR"), "IMAP"
 HELO = re.compile(rb"(?:EHLO|HELO)\s+(\S+)", re.I)
 SECRETS = re.compile(rb"(?:AUTH\s+(?P<mech>PLAIN|LOGIN|CRAM-MD5|EXTERNAL)|USER\s+\S+|PASS\s+\S+|\S+\s+LOGIN\s+\S+\s+\S+)", re.I)
 HANDSHAKE_RECORD, DATA_RECORD = re.compile(rb"\x16\x03[\x00-\x04]"), re.compile(rb"\x17\x03[\x00-\x04]")
+ANY_RECORD = re.compile(rb"[\x14-\x18]\x03[\x00-\x04]")
+HANDSHAKE_KIND, HANDSHAKE_HEAD = 0x16, b"\x16\x03"
+#: States in which a handshake record begins the encrypted part.
+UPGRADABLE = ("S2_ACCEPTED", "S0_TCP_EST", "S1_GREETING")
 LONGEST_LINE = 65_536
 
 
@@ -80,7 +84,7 @@ class Dialogue:
         self.protocol, self.state = protocol, "S3_TLS_HS" if mode == "IMPLICIT" else "S0_TCP_EST"
         self.banner = self.ehlo = self.latency = self.asked = self.tag = None
         self.caps, self.mechs, self.secrets, self.steps, self.findings = [], [], False, [], []
-        self.buffers, self.offsets = {"c2s": b"", "s2c": b""}, {"c2s": 0, "s2c": 0}
+        self.buffers, self.offsets, self.unread = {"c2s": b"", "s2c": b""}, {"c2s": 0, "s2c": 0}, {"c2s": 0, "s2c": 0}
 
     def move(self, state: str, ts: float, at: int, data: bytes) -> None:
         head = data[:64]
@@ -89,26 +93,56 @@ class Dialogue:
         self.state = state
 
     def feed(self, side: str, ts: float, data: bytes) -> None:
-        at = self.offsets[side]
-        self.offsets[side] += len(data)
-        if HANDSHAKE_RECORD.match(data) and self.state in ("S2_ACCEPTED", "S0_TCP_EST", "S1_GREETING"):
-            self.latency = None if self.asked is None else (ts - self.asked) * 1000
-            self.move("S3_TLS_HS", ts, at, data)
-            return
-        if self.state == "S3_TLS_HS":
-            if DATA_RECORD.match(data):
-                self.move("S4_ENCRYPTED", ts, at, data)
-            return
+        """Bytes of one direction in order. Lines and records are found in the stream, so it does not matter how it was cut into segments."""
+        buf, at, start = self.buffers[side] + data, 0, self.offsets[side]
+        while at < len(buf) and self.state != "S4_ENCRYPTED":
+            if self.state == "S3_TLS_HS":
+                after = self.record(side, ts, buf, at, start + at)
+            elif self.state in UPGRADABLE and buf[at] == HANDSHAKE_KIND and (len(buf) - at < 3 and HANDSHAKE_HEAD.startswith(buf[at:][:2]) or HANDSHAKE_RECORD.match(buf, at)):
+                if len(buf) - at < 3:
+                    break  # the rest of the record's head comes with the next segment
+                self.latency = None if self.asked is None else (ts - self.asked) * 1000
+                self.move("S3_TLS_HS", ts, start + at, buf[at : at + 64])
+                continue
+            else:
+                after = self.line(side, ts, buf, at, start + at)
+            if after == at:
+                break
+            at = after
         if self.state == "S4_ENCRYPTED":
-            return
-        *lines, rest = (self.buffers[side] + data).split(b"\n")
-        while len(rest) > LONGEST_LINE:
-            lines.append(rest[:LONGEST_LINE])
-            rest = rest[LONGEST_LINE:]
-        self.buffers[side] = rest
-        for line in lines:
-            if line.strip():
-                (self.client if side == "c2s" else self.server)(line.strip(), ts, at)
+            at = len(buf)
+        self.buffers[side], self.offsets[side] = buf[at:], start + at
+
+    def line(self, side: str, ts: float, buf: bytes, at: int, place: int) -> int:
+        """Read the line at `at`; where the next one begins, or `at` if it has not ended yet."""
+        end = buf.find(b"\n", at, at + LONGEST_LINE)
+        if end < 0:
+            if len(buf) - at <= LONGEST_LINE:
+                return at
+            end, after = at + LONGEST_LINE, at + LONGEST_LINE
+        else:
+            after = end + 1
+        if text := buf[at:end].strip():
+            (self.client if side == "c2s" else self.server)(text, ts, place)
+        return after
+
+    def record(self, side: str, ts: float, buf: bytes, at: int, place: int) -> int:
+        """Go on by one record, or by the part of it that is there; application data ends the handshake."""
+        if not self.unread[side]:
+            if len(buf) - at < 3:
+                return at
+            if DATA_RECORD.match(buf, at):
+                self.move("S4_ENCRYPTED", ts, place, buf[at : at + 64])
+                return len(buf)
+            if len(buf) - at < 5:
+                return at
+            if not ANY_RECORD.match(buf, at):  # out of step, after a gap: the next thing that looks like a record
+                m = ANY_RECORD.search(buf, at + 1)
+                return m.start() if m else len(buf) - 2
+            self.unread[side] = 5 + int.from_bytes(buf[at + 3 : at + 5], "big")
+        step = min(self.unread[side], len(buf) - at)
+        self.unread[side] -= step
+        return at + step
 
     def client(self, line: bytes, ts: float, at: int) -> None:
         if m := SECRETS.match(line):
