@@ -47,11 +47,6 @@ def moments(values: Column) -> dict[str, Column]:
     return {"mean": mean, "std": F.when(n > 0, F.sqrt(var)), "min": F.array_min(values), "max": F.array_max(values)}
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value), with value computed once a row however often body reads it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def hashed(document: Column, size: int = HASHED) -> Column:
     """Token counts in `size` buckets, scaled to length 1. Tokens are lower-cased words of two characters or more; null and empty texts give zeros.
 
@@ -59,13 +54,13 @@ def hashed(document: Column, size: int = HASHED) -> Column:
     """
     words = F.filter(F.split(F.lower(F.coalesce(document, F.lit(""))), r"\W+"), lambda t: F.length(t) >= 2)
     at = F.transform(words, lambda t: F.pmod(F.xxhash64(t), F.lit(size)))
-    counts = _bound(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
+    counts = S.bound(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
 
     def scaled(c: Column) -> Column:
         norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-        return _bound(norm, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+        return S.bound(norm, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
-    return _bound(counts, scaled)
+    return S.bound(counts, scaled)
 
 
 def features(sessions: DataFrame, suites: DataFrame) -> DataFrame:

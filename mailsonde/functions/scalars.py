@@ -16,6 +16,11 @@ def lookup(mapping: dict, key: Column, default=None) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once a row however often body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 # -- sequence numbers modulo 2**32
 
 

@@ -341,6 +341,11 @@ def certificate_list(data: bytes) -> list[bytes]:
     return out
 
 
+def stapled_answer(data: bytes) -> bytes | None:
+    """The OCSP answer in a certificate status message (kind 1)."""
+    return inner(data[1:], 3) or None if data[:1] == b"\1" else None
+
+
 def handshake(c2s: bytes | None, s2c: bytes | None) -> dict:
     mine, alerts, sealed = handshakes(c2s or b"")
     theirs, more, sealed2 = handshakes(s2c or b"")
@@ -350,7 +355,7 @@ def handshake(c2s: bytes | None, s2c: bytes | None) -> dict:
     certs = next((certificate_list(b) for k, b in theirs if k == 11), [])
     modern = bool(answer) and answer["selected_version"] == 0x0304
     # Finished is encrypted: both sides changing to encrypted records tells that the handshake ended.
-    return {"client_hello": hello, "server_hello": answer, "certificates": certs, "alerts": alerts + more, "handshake_completed": sealed and sealed2, "certificates_observable": bool(certs) and not modern}
+    return {"client_hello": hello, "server_hello": answer, "certificates": certs, "alerts": alerts + more, "handshake_completed": sealed and sealed2, "certificates_observable": bool(certs) and not modern, "stapled_ocsp": next((stapled_answer(b) for k, b in theirs if k == 22), None)}
 
 
 def tls(c2s, s2c) -> Column:

@@ -29,3 +29,29 @@ def exploded_chain(df: DataFrame, chain: str) -> DataFrame:
 
 def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key)).agg(F.count("*").alias("shared"))
+
+
+#: Width of the narrowest time bucket of interval_join, how much wider the next ones are, and how many widths there are.
+WIDTH, WIDER, LEVELS = 3600.0, 16, 5
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """points joined with all intervals of their keys that hold their time, both ends included; columns of both.
+
+    An equi-join by time bucket: an interval lies in at most WIDER + 1 buckets of the width that suits its length, a
+    point in one bucket of each width, so a pair meets once and no range-only condition is left. Intervals without an
+    end, or longer than the widest bucket allows, meet their keys' points directly. Null keys, times and starts match
+    nothing; an interval that ends before it starts is empty; repeated rows each count. Names must not clash but for keys.
+    """
+    step, length = [WIDTH * WIDER**i for i in range(LEVELS)], F.col(end) - F.col(start)
+    level = F.lit(LEVELS)
+    for i in reversed(range(LEVELS)):
+        level = F.when(length <= step[i] * (WIDER - 1), i).otherwise(level)
+    wide = F.element_at(F.array(*map(F.lit, [*step, 1.0])), F.col("__level") + 1)
+    own = intervals.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col(start)))).withColumn("__level", F.coalesce(level, F.lit(LEVELS)))
+    bucket = F.when(F.col("__level") == LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(F.col(start) / wide), F.floor(F.col(end) / wide)))
+    own = own.withColumn("__bucket", F.explode(bucket))
+    mine = F.explode(F.array(*[F.struct(F.lit(i).alias("__level"), F.floor(F.col(at) / w).alias("__bucket")) for i, w in enumerate(step)], F.struct(F.lit(LEVELS).alias("__level"), F.lit(0).cast("long").alias("__bucket"))))
+    asked = points.where(F.col(at).isNotNull()).withColumn("__b", mine).select(*points.columns, "__b.__level", "__b.__bucket")
+    met = asked.join(own, [*keys, "__level", "__bucket"]).where((F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) <= F.col(end))))
+    return met.drop("__level", "__bucket")

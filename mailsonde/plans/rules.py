@@ -64,7 +64,8 @@ def parameters(decoded: DataFrame, suites: DataFrame, chains: DataFrame | None =
     """Decoded sessions with the columns of PARAMS beside their own, ready for score(): from captures to scores.
 
     suites: (id, name). A leaf `cert` (certificates.with_leaf) and a `host_status` are used where decoded has them;
-    chains: (fingerprint_sha256, chain) of validated chains, joined by the leaf. The group is the client's first that is
+    chains: (fingerprint_sha256, chain) of validated chains, joined by the leaf; without it a `chain` that decoded has
+    (chains.validated, revocation.with_revocation) is used, each session's own. The group is the client's first that is
     not reserved, the key exchange the chosen suite's. What is not observed is null and matches no rule of its own.
     id is a hash of the flow and its start.
     """
@@ -86,7 +87,10 @@ def parameters(decoded: DataFrame, suites: DataFrame, chains: DataFrame | None =
     if "cert" in has:
         out = out.withColumn("cert", F.when(F.col("cert.public_key_algorithm").isNotNull(), F.col("cert")))
     if chains is None:
-        return out.withColumn("chain", null(CHAIN)).drop("__suites", "__leaf")
+        names = [x.split(":")[0] for x in CHAIN[7:-1].split(",")]
+        told = {f.name for f in decoded.schema["chain"].dataType.fields} if "chain" in has else set()
+        own = F.struct(*[(F.col(f"chain.{n}") if n in told else F.lit("UNKNOWN")).alias(n) for n in names]).cast(CHAIN)
+        return out.withColumn("chain", own if told else null(CHAIN)).drop("__suites", "__leaf")
     known = chains.select(F.col("fingerprint_sha256").alias("__leaf"), "chain").dropDuplicates(["__leaf"])
     return out.join(known, "__leaf", "left").drop("__suites", "__leaf")
 
