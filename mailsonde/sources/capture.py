@@ -1,13 +1,14 @@
 """Packet captures: classic and next-generation files, link layers, corruption budget, metadata.
 
-`read_packets` takes files through Spark's own binary reader, so any store that Spark reads will do; `CaptureSource` is
-the same scan as a data source with one partition a file, for files of any size on file systems that pyarrow opens.
+`read_packets` takes files through Spark's own binary reader, so any store that Spark reads will do, a file a row;
+`CaptureSource` reads byte ranges of files of any size on file systems that pyarrow opens, with filters in the scan.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import operator
 import struct
 from collections.abc import Iterator
 
@@ -240,33 +241,90 @@ def expired(spark: SparkSession, path: str, now, hours: int = 72) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length").where(age > hours * 3600)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Range(InputPartition):
+    def __init__(self, uri: str, start: int, stop: int, size: int):
+        self.uri, self.start, self.stop, self.size = uri, start, stop, size
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.budget = options["path"].split(","), float(options.get("budget", "0.05"))
+        from .ranges import SPLIT
+
+        self.paths, self.budget, self.split = options["path"].split(","), float(options.get("budget", "0.05")), int(options.get("split", SPLIT))
+        self.ports = frozenset(map(int, options["ports"].split(","))) if options.get("ports") else None
+        self.tests: list = []
 
     def partitions(self):
         from pyarrow import fs
 
+        from .ranges import opened
+
         out = []
         for p in self.paths:
-            root, base = (fs.LocalFileSystem(), p.removeprefix("file://")) if p.startswith(("/", "file:")) else fs.FileSystem.from_uri(p)
+            root, base = opened(p)
             info = root.get_file_info(base)
             files = [info] if info.type == fs.FileType.File else root.get_file_info(fs.FileSelector(base, recursive=True))
-            out += [_File(f.path) for f in files if f.type == fs.FileType.File]
+            scheme = p[: len(p) - len(base)] if p.endswith(base) else ""
+            for f in files:
+                uri = scheme + f.path
+                if f.type == fs.FileType.File and all(uri in values for _, name, values in self.tests if name == "capture_id"):
+                    step = self.split if self.split > 0 else max(1, f.size)
+                    # A file that must be read whole because its head says so fails in its tasks, not here: the driver opens none.
+                    out += [_Range(uri, a, min(a + step, f.size), f.size) for a in range(0, max(1, f.size), step)]
         return out
 
-    def read(self, partition: _File):
-        with open(partition.path, "rb") as f:
-            yield from _batches(partition.path, Capture(f, self.budget))
+    def read(self, part: _Range):
+        from .ranges import opened, packets_of_range
+
+        if part.start == 0 and part.stop >= part.size and self.split <= 0:
+            root, path = opened(part.uri)
+            with root.open_input_stream(path) as f:
+                found = Capture(f, self.budget)
+                rows = (r for r in found if self.ports is None or _mail(r[-1], self.ports))
+                yield from _batches(part.uri, filter(self.kept, rows))
+        else:
+            yield from _batches(part.uri, filter(self.kept, packets_of_range(part.uri, part.start, part.stop, part.size, self.budget, self.ports)))
+
+    def kept(self, row: tuple) -> bool:
+        return all(_COMPARE[kind](row[_MEASURES[name]], value) for kind, name, value in self.tests if name != "capture_id")
+
+
+class _Pushing(_Reader):
+    def pushFilters(self, filters):
+        """Comparisons of ts, caplen and wirelen with a number, and of capture_id with names, are made in the scan; the others stay with Spark."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            kind = type(f).__name__
+            if name in _MEASURES and kind in _COMPARE and isinstance(f.value, (int, float)):
+                self.tests.append((kind, name, f.value))
+            elif name in (*_MEASURES, "capture_id", "index") and kind == "IsNotNull":
+                pass  # these never are null
+            elif name == "capture_id" and kind in ("EqualTo", "In"):
+                self.tests.append((kind, name, (f.value,) if kind == "EqualTo" else tuple(f.value)))
+            else:
+                yield f
+
+
+#: Columns that the scan itself compares, by their place in a row, and how.
+_MEASURES = {"ts": 1, "caplen": 2, "wirelen": 3}
+_COMPARE = {"EqualTo": operator.eq, "GreaterThan": operator.gt, "GreaterThanOrEqual": operator.ge, "LessThan": operator.lt, "LessThanOrEqual": operator.le}
+
+
+def _mail(packet: bytes, ports: frozenset[int]) -> bool:
+    from .ranges import mail_packet
+
+    return mail_packet(packet, ports)
 
 
 class CaptureSource(DataSource):
-    """spark.dataSource.register(CaptureSource); spark.read.format("capture").load(path)"""
+    """spark.dataSource.register(CaptureSource); spark.read.format("capture").load(path)
+
+    Files are read by ranges of `split` bytes (sources.ranges), on any file system that pyarrow opens; split=0 reads each
+    file in one task, whatever it holds. `ports` ("25,587") keeps packets with one of them at either end, and fragments.
+    With pushdown=true (and spark.sql.python.filterPushdown.enabled, without which Spark refuses it) comparisons of times
+    and lengths and names of captures are made in the scan, and files of other names are not opened. index orders a capture's packets: a record's offset, or with split=0 its
+    number.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -276,4 +334,4 @@ class CaptureSource(DataSource):
         return PACKETS
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
+        return (_Pushing if self.options.get("pushdown", "").lower() == "true" else _Reader)(self.options)
