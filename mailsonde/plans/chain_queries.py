@@ -5,10 +5,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import chains, revocation
+from ..operators import certificates, chains, decode, flow, revocation
+from ..sources.adapters import packets_from_conversations, packets_of_handshakes
+from ..sources.capture import CaptureSource
+from ..sources.sinks import write_captures
 from ..sources.tables import epoch, table
+from ..sources.trust import shared_path
+from . import rules
 from .made_certs import certificate
-from .queries import query
+from .queries import SQL, query
 
 #: Seconds from 1970 to the first day of the tables' orders, and of a day; both are in the SQL below, too.
 START, DAY = 694_224_000, 86_400
@@ -114,3 +119,40 @@ def revoked_at_capture(spark, d):
     entries = lists.join(gone, (F.col("n") == F.col("c_nationkey")) & (F.col("revoked_at") <= F.col("this_update"))).select("list_id", "serial", "revoked_at")
     asked = orders.join(customer, F.col("o_custkey") == k).select(k.cast("string").alias("fp"), F.hex(k).alias("serial"), F.array(url(F.col("c_nationkey"))).alias("crl_urls"), epoch("o_orderdate").alias("at"))
     return revocation.listed(asked, lists, entries).select(F.col("fp").cast("long").alias("custkey"), F.col("at").alias("moment"), "crl_status", "revoked_at")
+
+
+#: The chains' SQL with one session a customer, and the rules that its chain's state makes fire.
+CAPTURED_SQL = CHAINS_SQL.replace("(epoch_us(o_orderdate) / 1e6::DOUBLE - 694224000) / 86400::DOUBLE AS at FROM orders JOIN customer ON c_custkey = o_custkey", "CAST(c_custkey * 7919 % 2500 AS DOUBLE) AS at FROM (SELECT c_custkey, c_custkey AS o_custkey, c_custkey AS o_orderkey FROM customer)")
+
+
+@query(f"""WITH t AS ({CAPTURED_SQL})
+SELECT o_orderkey AS custkey, 'S4_ENCRYPTED' AS state, is_valid, errors, interception, CASE WHEN errors = 'EMPTY_CHAIN' THEN '' ELSE array_to_string(list_sort(list_filter([
+CASE WHEN errors LIKE '%CERT_EXPIRED%' THEN 'CERT-EXPIRED' WHEN errors LIKE '%CERT_NOT_YET_VALID%' THEN 'CERT-NOT-YET-VALID' END,
+CASE WHEN o_orderkey % 13 = 7 THEN 'CERT-SELF-SIGNED' WHEN errors LIKE '%UNTRUSTED_ROOT%' THEN 'CERT-UNTRUSTED-CHAIN' END,
+CASE WHEN is_valid THEN 'CERT-REVOCATION-UNKNOWN' END, CASE WHEN errors LIKE '%WEAK_HASH_ALGO%' THEN 'CERT-SIG-SHA1' END, 'CERT-RSA-512', 'CERT-NO-SAN', 'CERT-NO-SCT', CASE WHEN 365 * (1 + o_orderkey % 5) > 825 THEN 'CERT-LIFETIME-825' WHEN 365 * (1 + o_orderkey % 5) > 398 THEN 'CERT-LIFETIME-398' END], lambda x: x IS NOT NULL)), ',') END AS rules FROM t""")
+def captured_chains(spark, d):
+    """From packets to scores: sessions whose servers show their customers' chains; what the chain's state at that time makes of the score."""
+    shown, store = hierarchy(spark, d)
+    k = F.col("c_custkey")
+    packets = packets_of_handshakes(shown.select(k.alias("id"), _day(k * 7919 % 2500).alias("at"), "certificates"))
+    s = decode.decoded(flow.sessions(packets))
+    s = s.select(*[c for c in s.columns if c not in ("chunks", "c2s_payload", "s2c_payload")])
+    s = chains.validated(s, store).withColumn("interception", F.col("chain.interception"))
+    s = certificates.with_leaf(s, ["capture_id", "client_ip", "client_port", "server_ip", "server_port", "first_seen"])
+    suites = spark.range(500).select(F.hex(F.col("id") + 49152).alias("id"), F.lit("TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256").alias("name"))
+    x = rules.score(rules.parameters(s, suites))
+    fired = F.array_sort(F.filter(F.transform("provenance", lambda v: v["rule_id"]), lambda v: v.startswith("CERT-")))
+    return x.select(F.regexp_extract("capture_id", r"(\d+)$", 1).cast("long").alias("custkey"), F.col("fsm.state").alias("state"), "chain.is_valid", F.array_join("chain.errors", ",").alias("errors"), "interception", F.array_join(fired, ",").alias("rules"))
+
+
+@query(SQL["reassemble_flows"])
+def captured_files(spark, d):
+    """Conversations written as capture files and read again by ranges of 100 kB that check each other: the rebuilt payloads are the conversation's texts."""
+    spark.dataSource.register(CaptureSource)
+    files = write_captures(packets_from_conversations(table(spark, d, "conversations")), shared_path(spark, "captures"))
+    names = [r["file"] for r in files.select("file").collect()]  # a file holds 64 MB or more, or is a task's last
+    packets = spark.read.format("capture").options(split="100000", ports="25").load(",".join(names))
+    s = flow.sessions(packets)
+    part = lambda i: F.split("client_ip", r"\.")[i].cast("long")
+    conv = part(1) * 65536 + part(2) * 256 + part(3)
+    return s.select(conv.alias("conv_id"), F.md5("c2s_payload").alias("c2s_md5"), F.md5("s2c_payload").alias("s2c_md5"), F.length("c2s_payload").alias("c2s_length"), F.length("s2c_payload").alias("s2c_length"), F.col("quality.complete").alias("complete"))

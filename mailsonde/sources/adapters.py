@@ -113,3 +113,28 @@ def packets_of_dialogues(ids: DataFrame, name: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([[f"dialogue-{n}"] * len(out), range(len(out)), [EPOCH + 0.25 * i for i in range(len(out))], sizes, sizes, [None] * len(out), out], PACKETS.types, strict=True)], PACKETS.names)
 
     return ids.select(F.col(name).cast("long")).mapInArrow(build, PACKETS_DDL)
+
+
+def packets_of_handshakes(rows: DataFrame) -> DataFrame:
+    """Packets of one upgraded mail session a row of (id, at, certificates): it begins at `at` and its server shows these certificates.
+
+    The client's address spells the id. Null certificates: the server shows none.
+    """
+
+    def build(batches):
+        for b in batches:
+            for n, at, ders in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, turns = mail_turns(0)
+                shown = b"".join(_sized(3, d) for d in ders or [])
+                place = next(i for i, (side, data) in enumerate(turns) if side == "s" and data[:1] == b"\x16") + 1
+                turns = [*turns[:place], *([("s", _record(22, b"\x0b" + _sized(3, _sized(3, shown))))] if ders else []), *turns[place:]]
+                ends = {"c": (struct.pack(">I", 0x0A000000 | n & 0xFFFFFF), 40_000), "s": (b"\xac\x10\x00\x19", 25)}
+                seq, out = {"c": 1000, "s": 5000}, []
+                for side, flags, data in [("c", 2, b""), ("s", 18, b""), *[(s, 24, x) for s, x in turns], ("c", 17, b""), ("s", 17, b"")]:
+                    for part in range(0, max(1, len(data)), 1400):
+                        out.append(_packet(*ends[side], *ends["s" if side == "c" else "c"], seq[side], flags, data[part : part + 1400]))
+                        seq[side] += len(data[part : part + 1400]) + bool(flags & 3)
+                sizes = [len(p) for p in out]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([[f"handshake-{n}"] * len(out), range(len(out)), [at + 0.25 * i for i in range(len(out))], sizes, sizes, [None] * len(out), out], PACKETS.types, strict=True)], PACKETS.names)
+
+    return rows.select(F.col("id").cast("long"), F.col("at").cast("double"), "certificates").mapInArrow(build, PACKETS_DDL)

@@ -24,17 +24,21 @@ def read_certificates(spark: SparkSession, path: str, source: str) -> DataFrame:
     return files.select(F.explode(ders).alias("der"), F.lit(source).alias("source"), "file_sha256")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read again, so that later plans start there and lost executors cost tasks only.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new name in the folder in spark.checkpoint.dir.
 
     A folder of this machine is used only where that setting is missing and Spark runs in one process.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = settled.__dict__.setdefault("own", f"file://{tempfile.mkdtemp(prefix='mailsonde-')}")
-    at = f"{base.rstrip('/')}/mailsonde/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+        base = getattr(shared_path, "own", None) or f"file://{tempfile.mkdtemp(prefix='mailsonde-')}"
+        shared_path.own = base
+    return f"{base.rstrip('/')}/mailsonde/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again, so that later plans start there and lost executors cost tasks only."""
+    df.write.parquet(at := shared_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(at)
