@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import quantiles
 from ..sources.dims import cipher_facts
 from . import scalars as S
 
@@ -117,15 +118,15 @@ def features(sessions: DataFrame, suites: DataFrame) -> DataFrame:
 
 
 def imputed(df: DataFrame, names: list[str]) -> DataFrame:
-    """Nulls become the feature's median over all rows (exact; a feature without values stays null)."""
-    medians = df.agg(*[F.percentile(F.col(n), F.lit(0.5)).alias(f"__{n}") for n in names])
-    return df.join(F.broadcast(medians), F.lit(True)).select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in names else F.col(c) for c in df.columns])
+    """Nulls become the feature's median over all rows (exact, selected by refined ranges; a feature without values stays null)."""
+    medians = {n: v for n, (v,) in quantiles(df, names, [0.5]).items()}
+    return df.select(*[F.coalesce(F.col(c), F.lit(medians[c]).cast("double")).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def normal_scores(df: DataFrame, names: list[str], quantiles: int = 100) -> DataFrame:
+def normal_scores(df: DataFrame, names: list[str], quantile_count: int = 100) -> DataFrame:
     """Each feature mapped by its own quantiles to the normal distribution; ends are held at +-5.2, constants give 0."""
-    probs = [i / (quantiles - 1) for i in range(quantiles)]
-    row = df.agg(*[F.percentile(F.col(n), F.array(*map(F.lit, probs))).alias(n) for n in names]).first()  # names x quantiles numbers
+    probs = [i / (quantile_count - 1) for i in range(quantile_count)]
+    row = {n: None if v[0] is None else v for n, v in quantiles(df, names, probs).items()}  # names x quantiles numbers
     grids = {n: np.array(row[n], float) if row[n] else None for n in names}
     inverse = np.vectorize(NormalDist().inv_cdf, otypes=[float])
 

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def feature_profile(df: DataFrame, names: list[str]) -> DataFrame:
-    """Per feature: counts, moments, exact quantiles and a quality class. Features are rows before they are grouped."""
+    """Per feature: counts, moments, exact quantiles and a quality class. Features are rows before they are grouped.
+
+    Quantiles are selected by refined ranges (ranks.quantiles), as soon as this is called; nulls count nowhere, NaN and
+    infinities in the counts only. Features without values have no row.
+    """
+    num = lambda c: F.col(c).cast("double")
+    sane = df.select(*[F.when(~F.isnan(num(c)) & (F.abs(num(c)) != float("inf")), num(c)).alias(c) for c in names])
+    q = [(c, *map(float, v)) if v[0] is not None else (c, None, None, None) for c, v in quantiles(sane, names, [0.5, 0.95, 0.99]).items()]
+    ordered = df.sparkSession.createDataFrame(q, "feature string, median double, p95 double, p99 double")
     x = df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "feature", "v")
     finite = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
     g = x.groupBy("feature").agg(
         F.count("v").alias("n"), F.count_if(F.isnan("v")).alias("n_nan"), F.count_if(F.col("v") == 0).alias("n_zero"), F.count_distinct("v").alias("n_unique"), F.avg(finite).alias("mean"), F.stddev_samp(finite).alias("std"), F.var_samp(finite).alias("var"),
-        F.min(finite).alias("min"), F.percentile(finite, F.lit(0.5)).alias("median"), F.percentile(finite, F.lit(0.95)).alias("p95"), F.percentile(finite, F.lit(0.99)).alias("p99"), F.max(finite).alias("max"), F.avg(F.when(finite.isNotNull(), 1.0).otherwise(0.0)).alias("finite_rate"),
+        F.min(finite).alias("min"), F.max(finite).alias("max"), F.avg(F.when(finite.isNotNull(), 1.0).otherwise(0.0)).alias("finite_rate"),
     )
     kind = F.when(F.col("n_unique") <= 1, "CONSTANT").when(F.col("std") < 1e-3, "NEAR_CONSTANT").when(F.col("finite_rate") < 1, "REQUIRES_SEMANTIC_REVIEW").otherwise("VALID")
-    return g.withColumn("quality", kind)
+    return g.join(F.broadcast(ordered), "feature", "left").withColumn("quality", kind)
 
 
 def shift(df: DataFrame, feature: str, value: str, base: Column, other: Column) -> DataFrame:
@@ -49,11 +59,16 @@ def best_threshold(grid: DataFrame, recall: float = 0.80) -> DataFrame:
 
 
 def score_summary(df: DataFrame, score: str, flag: float = 0.5) -> DataFrame:
-    """Scores scaled to [0, 1] by their own range (all alike: 0): mean, deviation, 95th percentile, share at the flag or above."""
+    """Scores scaled to [0, 1] by their own range (all alike: 0): mean, deviation, 95th percentile, share at the flag or above.
+
+    The percentile is that of the scores as they are, scaled afterwards; it is selected by refined ranges. Nulls are left
+    out; without scores one row of nulls and n = 0.
+    """
     bounds = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    x = F.when(F.col("hi") > F.col("lo"), (F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    s = df.where(F.col(score).isNotNull()).join(F.broadcast(bounds), F.lit(True)).select(x.alias("x"))
-    return s.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.percentile("x", F.lit(0.95)).alias("p95"), F.avg(F.when(F.col("x") >= flag, 1.0).otherwise(0.0)).alias("flag_rate"))
+    scaled = lambda v: F.when(F.col("hi") > F.col("lo"), (v - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    (p95,) = quantiles(df, [score], [0.95])[score]
+    s = df.where(F.col(score).isNotNull()).join(F.broadcast(bounds), F.lit(True)).select(scaled(F.col(score)).alias("x"), scaled(F.lit(p95).cast("double")).alias("q"))
+    return s.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("q").alias("p95"), F.avg(F.when(F.col("x") >= flag, 1.0).otherwise(0.0)).alias("flag_rate"))
 
 
 def invalid_vectors(df: DataFrame, vector: str, size: int) -> DataFrame:
