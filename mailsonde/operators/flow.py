@@ -1,9 +1,10 @@
 """Packets to sessions: network and transport headers, fragments, reassembly.
 
 Headers are parsed in Arrow batches and only mail ports go on. Flows are shuffled by their order-free key and each is
-rebuilt by one call, its packets in order of their number, never of their clock. Sessions' buffers are bounded; what a
-segment holds beyond `keep` bytes is cut before the shuffle.
-A flow's own silence ends a session: a rule that does not depend on other flows, partitioning or row order.
+rebuilt by one call, its packets in order of their number, never of their clock. Sessions' buffers are bounded; `segments` can
+cut what a segment holds beyond `keep` bytes, sessions() does not.
+A flow's own silence ends a session: a rule that does not depend on other flows, partitioning or row order. With
+compat=True the capture's clock decides instead, the latest time of any packet so far: a prefix maximum over packets.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import REASSEMBLED
@@ -25,6 +26,7 @@ IDLE, GAP_WAIT, FRAGMENT_WAIT = 300.0, 30.0, 60.0
 BUFFER, OUT_OF_ORDER, HANDSHAKE = 8 << 20, 2 << 20, 64 << 10
 HALF = 1 << 31
 DATAGRAMS = "capture_id string, index long, ts double, vlan int, src string, dst string, proto int, ident long, offset int, more boolean, body binary"
+CLOCK_SPAN = 1 << 20
 SEGMENTS = "capture_id string, index long, ts double, vlan int, src string, sport int, dst string, dport int, seq long, flags int, body binary"
 
 
@@ -107,6 +109,25 @@ def segments(d: DataFrame, ports=MAIL_PORTS, keep: int | None = None) -> DataFra
     return d.select("capture_id", "index", "ts", "vlan", "src", "dst", "body").mapInArrow(parse, SEGMENTS)
 
 
+def with_clock(segs: DataFrame, span: int = CLOCK_SPAN) -> DataFrame:
+    """segs with the capture's clock: `clock` is the latest time among its rows up to this one, `before` that up to the one before.
+
+    A prefix maximum in spans of packet numbers: one maximum a span is carried on, and only a span's own rows are put in
+    order in one task, whatever the capture's length. The first row's `before` is null. Rows of one number tie: each sees
+    the other's time or not. Null times count for nothing.
+    """
+    span_of = F.floor(F.col("index") / F.lit(span))
+    tops = segs.groupBy("capture_id", span_of.alias("__span")).agg(F.max("ts").alias("__top"))
+    before = Window.partitionBy("__capture").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(F.col("capture_id").alias("__capture"), F.col("__span").alias("__at"), "__top").withColumn("__carried", F.max("__top").over(before)).drop("__top")
+    rows = segs.withColumn("__span", span_of)
+    rows = rows.join(carried, F.col("capture_id").eqNullSafe(F.col("__capture")) & F.col("__span").eqNullSafe(F.col("__at")), "left")
+    own = Window.partitionBy("capture_id", "__span").orderBy("index")
+    upto, earlier = (F.max("ts").over(own.rowsBetween(Window.unboundedPreceding, n)) for n in (0, -1))
+    out = rows.withColumns({"clock": F.greatest(upto, "__carried"), "before": F.greatest(earlier, "__carried")})
+    return out.select(*segs.columns, "clock", "before")
+
+
 class Half:
     """One direction: bytes in order, segments that wait, and what was odd."""
 
@@ -203,16 +224,24 @@ class Flow:
             client = here if there[1] <= here[1] else there
         self.client, self.server = client, there if client == here else here
         self.vlan, self.first, self.last, self.closed = row["vlan"], row["ts"], row["ts"], False
+        self.clock = row.get("clock", row["ts"])
 
     def take(self, r: dict) -> None:
+        """The next packet; rows with a clock (with_clock) wait for missing segments by that, others by their own times."""
         side = 0 if (r["src"], r["sport"]) == self.client else 1
-        for i, h in enumerate(self.halves):
-            if h.stalled is not None and r["ts"] - h.stalled >= GAP_WAIT:
-                self._read(i, r["ts"], h.skip(self.limit, "a missing segment did not come in time"))
-        self.last = max(self.last, r["ts"])
-        self._read(side, r["ts"], self.halves[side].take(r["seq"], r["flags"], r["body"], r["ts"], self.limit))
+        now = r.get("clock", r["ts"])
+        self._wait(r["ts"], r["before"] if "clock" in r else r["ts"])
+        self.last, self.clock = max(self.last, r["ts"]), now
+        self._read(side, r["ts"], self.halves[side].take(r["seq"], r["flags"], r["body"], now, self.limit))
+        if "clock" in r:
+            self._wait(r["ts"], now)
         self.closed = bool(r["flags"] & RST) or all(h.fin and not h.waiting for h in self.halves)
 
+    def _wait(self, ts: float, now: float | None) -> None:
+        for i, h in enumerate(self.halves):
+            if h.stalled is not None and now is not None and now - h.stalled >= GAP_WAIT:
+                self._read(i, ts, h.skip(self.limit, "a missing segment did not come in time"))
+
     def _read(self, side: int, ts: float, parts: list[bytes]) -> None:
         self.chunks += [{"dir": ("c2s", "s2c")[side], "ts": ts, "data": bytes(p)} for p in parts]
 
@@ -231,10 +260,11 @@ class Flow:
 
 
 def rebuild(rows: list[dict], ports=MAIL_PORTS, limit: int = BUFFER) -> list[dict]:
-    """Sessions of one flow key, from its segments."""
+    """Sessions of one flow key, from its segments; those with a clock end by what it showed before a packet came."""
     out, flow = [], None
     for r in sorted(rows, key=lambda r: r["index"]):
-        if flow and (r["ts"] - flow.last >= IDLE or (flow.closed and (r["flags"] & SYN or r["body"]))):
+        silent = flow and (r["before"] - flow.clock if "clock" in r else r["ts"] - flow.last)
+        if flow and (silent >= IDLE or (flow.closed and (r["flags"] & SYN or r["body"]))):
             out.append(flow.row())
             flow = None
         flow = flow or Flow(r, ports, limit)
@@ -244,8 +274,13 @@ def rebuild(rows: list[dict], ports=MAIL_PORTS, limit: int = BUFFER) -> list[dic
     return out
 
 
-def reassembled(segs: DataFrame, ports=MAIL_PORTS, limit: int = BUFFER) -> DataFrame:
-    """Sessions with capture_id and the columns of REASSEMBLED."""
+def reassembled(segs: DataFrame, ports=MAIL_PORTS, limit: int = BUFFER, compat: bool = False) -> DataFrame:
+    """Sessions with capture_id and the columns of REASSEMBLED.
+
+    compat: silence (300 s) and missing segments (30 s) are measured on the clock of the capture's packets among segs, so
+    a session whose flow falls silent goes on if no other packet shows that time has passed.
+    """
+    segs = with_clock(segs) if compat else segs
     schema = f"capture_id string, {REASSEMBLED}"
     a, b = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port")), F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
     keyed = segs.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b))
@@ -262,6 +297,10 @@ def reassembled(segs: DataFrame, ports=MAIL_PORTS, limit: int = BUFFER) -> DataF
     return keyed.groupBy("capture_id", "lo", "hi", "vlan").applyInArrow(run, schema)
 
 
-def sessions(packets: DataFrame, ports=MAIL_PORTS, handshake_only: bool = False) -> DataFrame:
-    """The whole way; handshake_only keeps the first 64 KiB of each direction."""
-    return reassembled(segments(defragmented(datagrams(packets)), ports), ports, HANDSHAKE if handshake_only else BUFFER)
+def sessions(packets: DataFrame, ports=MAIL_PORTS, handshake_only: bool = False, compat: bool = False) -> DataFrame:
+    """The whole way; handshake_only keeps the first 64 KiB of each direction. compat: see reassembled(); the clock then counts every TCP packet."""
+    limit = HANDSHAKE if handshake_only else BUFFER
+    if not compat:
+        return reassembled(segments(defragmented(datagrams(packets)), ports), ports, limit)
+    every = with_clock(segments(defragmented(datagrams(packets)), None))
+    return reassembled(every.where(F.col("sport").isin(*ports) | F.col("dport").isin(*ports)), ports, limit)

@@ -16,11 +16,41 @@ def first_of_hash(df: DataFrame, content: str, ident: str) -> DataFrame:
     return df.where(F.col(content).isNotNull()).groupBy(F.sha2(content, 256).alias("sha256")).agg(F.min(ident).alias(ident), F.count("*").alias("copies"))
 
 
-def idle_sessions(df: DataFrame, keys: list[str], ts: str, tie: str, idle: float) -> DataFrame:
-    """df with session_no: a new one begins after `idle` seconds without a row of the key."""
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    gap = F.col(ts) - F.lag(ts).over(w)
-    return df.withColumn("__new", F.when(gap.isNull() | (gap >= idle), 1).otherwise(0)).withColumn("session_no", F.sum("__new").over(w)).drop("__new")
+def idle_sessions(df: DataFrame, keys: list[str], ts: str, tie: str, idle: float, span: float = 86_400.0) -> DataFrame:
+    """df with session_no: a new one begins after `idle` seconds without a row of the key.
+
+    A key's rows are put in order by spans of time, so one with a large share of all rows is the work of many tasks: a
+    span hands on its last time and how many sessions began in it, one row each. Null keys are one key, rows with a null
+    time form a span of their own; ties go by `tie`.
+    """
+    cut = F.floor(F.col(ts) / F.lit(span))
+    order = Window.partitionBy(*keys, "__span").orderBy(ts, tie)
+    rows = df.withColumn("__span", cut).withColumn("__gap", F.col(ts) - F.lag(ts).over(order)).withColumn("__first", F.row_number().over(order) == 1)
+    begins = F.when(~F.col("__first") & (F.col("__gap").isNull() | (F.col("__gap") >= idle)), 1).otherwise(0)
+    rows = rows.withColumn("__own", F.sum(begins).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = rows.groupBy(*keys, "__span").agg(F.min(ts).alias("__from"), F.max(ts).alias("__to"), F.max("__own").alias("__n"))
+    among = Window.partitionBy(*keys).orderBy("__span")
+    gap = F.col("__from") - F.lag("__to").over(among)
+    spans = spans.withColumn("__n", F.col("__n") + F.when(gap.isNull() | (gap >= idle), 1).otherwise(0)).withColumn("__upto", F.sum("__n").over(among.rowsBetween(Window.unboundedPreceding, -1)))
+    # Sessions begun before this span, and whether one begins with it.
+    spans = spans.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__span").alias("__at"), F.coalesce("__upto", F.lit(0)).alias("__base"), F.when(gap.isNull() | (gap >= idle), 1).otherwise(0).alias("__opens"))
+    same = F.col("__span").eqNullSafe(F.col("__at"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(spans, same).select(*df.columns, (F.col("__base") + F.col("__opens") + F.col("__own")).alias("session_no"))
+
+
+def trailing_count(df: DataFrame, keys: list[str], at: str, period: int, out: str = "n") -> DataFrame:
+    """df with how many rows of the key lie in the last `period` whole units of `at` (an integer), itself and its equals included.
+
+    Rows are dealt into buckets of a period, and lent to the next one, so a task orders the rows of two periods of a key,
+    never all of a hot key's. Null keys are one key; rows with a null time count the others like them.
+    """
+    bucket = F.floor(F.col(at) / F.lit(period))
+    lent = F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own"))))
+    rows = df.withColumn("__x", lent).where(F.col("__x.own") | F.col(at).isNotNull())
+    w = Window.partitionBy(*keys, "__x.b").orderBy(at).rangeBetween(-period, 0)
+    return rows.withColumn(out, F.count("*").over(w)).where("__x.own").drop("__x")
 
 
 def exploded_chain(df: DataFrame, chain: str) -> DataFrame:

@@ -363,11 +363,18 @@ def latest_verdict(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"), F.count("*").alias("n"))
 
 
+@query("SELECT event_id, max(value) OVER w AS clock, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def capture_clock(spark, d):
+    """The latest time so far in a capture: a type's events in order of their ids, their values as times that run back."""
+    x = table(spark, d, "events").select("event_id", F.col("event_type").alias("capture_id"), F.col("event_id").alias("index"), F.col("value").alias("ts"))
+    return flow.with_clock(x, 1000).select("event_id", "clock", "before")
+
+
 @query("SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events")
 def trailing_rate(spark, d):
     """Rows of the trailing period: a day here, 60 seconds for the rate limit."""
-    w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-86400, 0)
-    return table(spark, d, "events").withColumn("s", F.floor(epoch("ts")).cast("long")).select("event_id", F.count("*").over(w).alias("n"))
+    x = table(spark, d, "events").select("event_id", "user_id", F.floor(epoch("ts")).cast("long").alias("s"))
+    return relational.trailing_count(x, ["user_id"], "s", 86400).select("event_id", "n")
 
 
 @query("SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS chain_position, role, turn = min(turn) OVER (PARTITION BY conv_id) AS is_leaf FROM conversations")
