@@ -54,9 +54,8 @@ OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|related|recommended
 #: Words of NAMED that an article's own parts may bear.
 OWN = re.compile(r"(?:^|(?<=[\s_-]))(?:header|notice|side|search|legal|copyright|banner\w*|overlay|login|signup)(?=$|[\s_-])")
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
-#: The rest of a tag, with quotes; one of more than TAG characters ends at its first >.
-REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-TAG = 4096
+#: What ends a tag, or begins a quoted value, inside which nothing does.
+TAG_STEP = re.compile(r"""=\s*(["'])|>""")
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WHITE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
@@ -85,7 +84,19 @@ class Block(NamedTuple):
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(text, "", ..) and ("", tag, closing, attributes) in order, in time that grows with the page's length; comments and declarations go."""
-    at, last = 0, page.rfind(">")
+    at, last, gone = 0, page.rfind(">"), set()
+
+    def tag_end(at: int) -> int:
+        """Where the tag's > is: not one inside quotes. A quote that is never closed is none; after one of a kind, no other of it is looked for."""
+        while m := TAG_STEP.search(page, at):
+            if not m[1]:
+                return m.start()
+            close = -1 if m[1] in gone else page.find(m[1], m.end())
+            if close < 0:
+                gone.add(m[1])
+            at = m.end() if close < 0 else close + 1
+        return last  # the page ends inside quotes
+
     while at < len(page):
         lt = page.find("<", at)
         if lt < 0 or lt > last:
@@ -99,8 +110,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
         elif page[lt + 1] in "!?":
             at = page.find(">", lt) + 1
         elif m := NAME.match(page, lt):
-            rest = REST.match(page, m.end(), m.end() + TAG)
-            end = rest.end(1) if rest else page.find(">", m.end())
+            end = max(tag_end(m.end()), m.end())
             tag, close = m[2].lower(), bool(m[1])
             yield "", tag, close, page[m.end() : end]
             at = end + 1

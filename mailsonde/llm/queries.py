@@ -34,7 +34,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), sentences=2, least_words=20)
     return docs.select("doc_id", "repeats.n_removed", F.length("repeats.text").cast("long").alias("kept_chars"), F.md5(F.coalesce("repeats.text", F.lit(""))).alias("kept_md5"), F.col("repeats.sources").alias("source_ids"), (F.col("repeats.n_removed") > 0).alias("repeated"))
 
 

@@ -16,7 +16,7 @@ from .common import _WORDS, stored
 ENDS = re.compile(rb"(?<=[.!?])(?=[ \t\r\f\v\n])|(?<=\n)")
 WORD = re.compile(rb"[^ ]+")
 #: A run has so many sentences and words at least; sentences of more than LONGEST words are cut, after one word in CUT.
-SENTENCES, WORDS, LONGEST, CUT = 2, 30, 40, 16
+SENTENCES, WORDS, LONGEST, CUT = 2, 20, 40, 16
 #: Runs that make up more than one in HOT of all are joined without a shuffle: there are fewer than HOT of them.
 HOT = 10_000
 

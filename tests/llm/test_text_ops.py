@@ -132,6 +132,21 @@ def test_html_main_text(make, spark):
     assert html_extract.extract_text(clash).columns == clash.columns and html_extract.extract_text(clash.limit(0)).count() == 0
 
 
+def test_tags_of_any_length():
+    for n in (10, 5000, 200_000):
+        for quote in "\"'":
+            page = f"<article><p data-x={quote}{'x' * n} > menu secret=1{quote} class=y>One.</p></article>"
+            assert html_extract.main_text(page) == "One.", n
+    assert html_extract.main_text("<article><p class=it's>Don't.</p><p title=\"a>b\">It's.</p></article>") == "Don't.\nIt's."
+    assert html_extract.main_text('<article><p title="never closed>One.</p><p>Two.</p></article>') == "One.\nTwo."
+    import time
+
+    for odd in ('<p a="' * 100_000, "<p a='x' b=\"" * 100_000 + ">", "<p a=\"b>" * 100_001, "<" * 300_000):
+        began = time.process_time()
+        html_extract.main_text(odd)
+        assert time.process_time() - began < 5
+
+
 def brute_labels(blocks, rules=html_extract.Rules()):
     """Pass 2 by its definition: every decided block is looked at for every undecided one."""
     first = [html_extract.first_pass(b, rules) for b in blocks]
@@ -296,13 +311,13 @@ def brute_sentences(t):
 
 
 def every_run_removed(rows):
-    """Sentences of runs seen at an earlier (id, place), over all runs of two or more sentences and 30 or more words."""
+    """Sentences of runs seen at an earlier (id, place), over all runs of two or more sentences and 20 or more words."""
     seen, gone = {}, {}
     for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         ws = brute_sentences(t)
         for i in range(len(ws)):
             for j in range(i + 2, len(ws) + 1):
-                if sum(map(len, ws[i:j])) >= 30 and seen.setdefault(str(ws[i:j]), (d, i)) != (d, i):
+                if sum(map(len, ws[i:j])) >= 20 and seen.setdefault(str(ws[i:j]), (d, i)) != (d, i):
                     gone.setdefault(d, set()).update(range(i, j))
     return gone
 
