@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.names import canonical_address, canonical_hosts, canonical_name
 from .decode import SENTINELS
 
 EXPLICIT_PORTS = (25, 587, 2525, 110, 143)
@@ -83,6 +85,24 @@ def hostname(sans: Column, ip_sans: Column, subject: Column, sni: Column, alpn_h
     return F.struct(status.alias("status"), method.alias("method"), ref.alias("reference"), matched.alias("matched"), cn_only.alias("cn_only"))
 
 
+def canonical_references(df: DataFrame, names: list[str], lists: list[str]) -> DataFrame:
+    """df with host names and addresses of these columns, and of these arrays of them, in canonical form, for hostname().
+
+    Coded, mapped and differently written names then compare equal. Nulls stay, as does what is neither name nor address.
+    """
+    tell = lambda v: canonical_address(v) or canonical_name(v) or v
+
+    @F.pandas_udf("string")
+    def lines(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: t if t is None else "\n".join(map(tell, t.split("\n"))))
+
+    out = df.withColumns({n: canonical_hosts(F.col(n)) for n in names})
+    for n in lists:  # one text a list: separators that no name holds
+        joined = F.array_join(n, "\n", "")
+        out = out.withColumn(n, F.when(F.col(n).isNull() | (F.size(n) == 0), F.col(n)).otherwise(F.split(lines(joined), "\n")))
+    return out
+
+
 def dane_match(usage_selector: Column, matching: Column, data: Column, cert: Column, spki: Column) -> Column:
     """TLSA: selector 0 is the certificate, 1 its key; matching 0 whole, 1 SHA-256, 2 SHA-512. data in hex."""
     source = F.when(usage_selector == 0, cert).when(usage_selector == 1, spki)

@@ -622,6 +622,20 @@ def hostname_verification(spark, d):
     return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.status", "r.method")
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '2001:db8::' || printf('%x', CAST(o_orderkey % 65535 + 1 AS INTEGER)) WHEN 1 THEN '10.0.' || (o_orderkey // 256 % 256) || '.' || (o_orderkey % 256) WHEN 2 THEN 'xn--mnchen-' || '3ya.n' || o_orderkey || '.example' ELSE 'not a name ' || o_orderkey END AS host,
+CASE WHEN o_orderkey % 4 = 2 THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM orders""")
+def canonical_references(spark, d):
+    """Addresses and names as they come, in upper case, brackets, full-width dots and umlauts, against a certificate's coded names."""
+    k = F.col("o_orderkey")
+    v6 = F.concat(F.lit("[2001:0DB8:0000:0000:0000:0000:0000:"), F.lpad(F.hex(k % 65535 + 1), 4, "0"), F.lit("]"))
+    v4 = F.concat_ws(".", F.lit(" 10.0"), (F.floor(k / 256) % 256).cast("string"), (k % 256).cast("string"))
+    name = F.concat(F.lit("MÜNCHEN．N"), k.cast("string"), F.lit(".example."))
+    x = table(spark, d, "orders").select("o_orderkey", F.when(k % 4 == 0, v6).when(k % 4 == 1, v4).when(k % 4 == 2, name).otherwise(F.concat(F.lit("not a name "), k.cast("string"))).alias("host"), F.array(F.concat(F.lit("münchen.n"), k.cast("string"), F.lit(".EXAMPLE"))).alias("sans"))
+    x = detectors.canonical_references(x, ["host"], ["sans"])
+    none = F.lit(None).cast("string")
+    return x.select("o_orderkey", "host", detectors.hostname(F.col("sans"), F.array().cast("array<string>"), F.lit("CN=other"), F.col("host"), none, none, none)["status"].alias("status"))
+
+
 @query("""WITH @sessions, a AS (SELECT 'ip-src' AS type, client_ip AS value, risk_score FROM sessions UNION ALL SELECT 'ip-dst', server_ip, risk_score FROM sessions UNION ALL SELECT 'hostname', sni, risk_score FROM sessions UNION ALL SELECT 'ja3-fingerprint-md5', ja3, risk_score FROM sessions)
 SELECT type, value, bool_or(risk_score >= 60) AS to_ids FROM a WHERE value <> '' GROUP BY ALL""")
 def misp_attributes(spark, d):
