@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.features import hashed, imputed
 from ..operators import corpus, decode, detectors, flow, governance, overview, profile, relational, search
+from ..operators.feature_model import FeaturePipeline, FeaturePipelineModel
 from ..sources import sinks
 from ..sources.adapters import packets_from_conversations, packets_of_dialogues
 from ..sources.tables import SESSIONS_SQL, epoch, sessions_from_events, table
+from ..sources.trust import shared_path
 from . import rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -672,6 +674,18 @@ def event_timeline(spark, d):
     return search.timeline(corpus.corpus_findings(s, 0.0).where("rule_id = 'D1_CORPUS_CAPABILITY_STRIP'"), s)
 
 
+@query("""WITH v AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME f VALUE v),
+g AS (SELECT f, quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q, quantile_cont(v, 0.5) AS m FROM v GROUP BY f), l AS (SELECT f, list_prepend(m, q) AS q FROM g)
+SELECT f AS feature, CAST(i AS INTEGER) AS i, round(q[i + 2], 6) AS q FROM (SELECT f, q, unnest(range(-1, 11)) AS i FROM l)""")
+def stored_model(spark, d):
+    """A feature pipeline fitted, saved, loaded under its approved digest: the medians (-1) and quantiles that it came back with."""
+    names = ["l_quantity", "l_extendedprice", "l_discount"]
+    x = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), *names)
+    told = FeaturePipeline(names, "id", quantiles=11, trees=10).fit(x).save(at := shared_path(spark, "model"))
+    grid, _ = FeaturePipelineModel.load(at, approved={told}).tables()
+    return spark.createDataFrame([(names[f], i, round(q, 6)) for f, i, q in grid], "feature string, i int, q double")
+
+
 @query("SELECT doc_id, coalesce(CAST(quality AS DOUBLE), (SELECT quantile_cont(quality, 0.5) FROM labels)) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def median_imputation(spark, d):
     x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
