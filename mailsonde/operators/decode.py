@@ -326,7 +326,7 @@ def server_hello(data: bytes) -> dict | None:
     alpn = names(inner(x.get(16), 2))
     return {
         "legacy_version": version, "selected_version": selected, "random": random, "selected_cipher": cipher, "selected_compression": compression, "ext_order": list(x),
-        "selected_alpn": alpn[0] if alpn else None, "downgrade_sentinel": random[24:] in SENTINELS, "hello_retry": random == RETRY,
+        "selected_alpn": alpn[0] if alpn else None, "downgrade_sentinel": random[24:] in SENTINELS, "hello_retry": random == RETRY, "key_share_group": int.from_bytes(x[51][:2], "big") if len(x.get(51, b"")) >= 2 else None,
     }
 
 
@@ -346,6 +346,21 @@ def stapled_answer(data: bytes) -> bytes | None:
     return inner(data[1:], 3) or None if data[:1] == b"\1" else None
 
 
+def key_exchange(data: bytes) -> tuple[int | None, int | None]:
+    """(bits of the prime, number of the curve) of a server's key exchange message; one of them, or neither.
+
+    Three vectors that follow each other in full are a prime, a generator and a public value; else kind 3 names a curve.
+    """
+    r = Reader(data)
+    try:
+        prime = r.vector(2)
+        r.vector(2)
+        r.vector(2)
+        return int.from_bytes(prime, "big").bit_length(), None
+    except IndexError:
+        return None, int.from_bytes(data[1:3], "big") if data[:1] == b"\3" and len(data) >= 4 + data[3] else None
+
+
 def handshake(c2s: bytes | None, s2c: bytes | None) -> dict:
     mine, alerts, sealed = handshakes(c2s or b"")
     theirs, more, sealed2 = handshakes(s2c or b"")
@@ -353,9 +368,12 @@ def handshake(c2s: bytes | None, s2c: bytes | None) -> dict:
     answers = [h for k, b in theirs if k == 2 and (h := server_hello(b))]
     answer = next((h for h in answers if not h["hello_retry"]), answers[0] if answers else None)
     certs = next((certificate_list(b) for k, b in theirs if k == 11), [])
+    bits, curve = next((key_exchange(b) for k, b in theirs if k == 12), (None, None))
+    lifetimes = [int.from_bytes(b[:4], "big") for k, b in theirs if k == 4 and len(b) >= 4]
     modern = bool(answer) and answer["selected_version"] == 0x0304
     # Finished is encrypted: both sides changing to encrypted records tells that the handshake ended.
-    return {"client_hello": hello, "server_hello": answer, "certificates": certs, "alerts": alerts + more, "handshake_completed": sealed and sealed2, "certificates_observable": bool(certs) and not modern, "stapled_ocsp": next((stapled_answer(b) for k, b in theirs if k == 22), None)}
+    more_told = {"ticket_lifetime": max(lifetimes, default=None), "dh_key_bits": bits, "curve": curve}
+    return {"client_hello": hello, "server_hello": answer, "certificates": certs, "alerts": alerts + more, "handshake_completed": sealed and sealed2, "certificates_observable": bool(certs) and not modern, "stapled_ocsp": next((stapled_answer(b) for k, b in theirs if k == 22), None), **more_told}
 
 
 def tls(c2s, s2c) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.names import canonical_address, canonical_hosts, canonical_name
-from .decode import SENTINELS
+from .decode import SENTINELS, quic_on_mail_port
 
 EXPLICIT_PORTS = (25, 587, 2525, 110, 143)
 
@@ -72,6 +72,18 @@ def detect(decoded: DataFrame, known: DataFrame | None = None, baselines: DataFr
     return out.withColumn("detections", F.array_compact(rules)).drop("__known", "__mode", "baseline")
 
 
+def quic_findings(datagrams: DataFrame) -> DataFrame:
+    """One finding a capture, server and mail port that long-header QUIC packets went to, of flow.udp_payloads(): these sessions are out of reach.
+
+    (capture_id, server_ip, server_port, finding, packets, first_seen); evidence shows the first packet's first byte.
+    Null and empty payloads are no QUIC.
+    """
+    seen = datagrams.where(F.coalesce(quic_on_mail_port(F.col("dport"), F.col("payload")), F.lit(False)))
+    g = seen.groupBy("capture_id", F.col("dst").alias("server_ip"), F.col("dport").alias("server_port")).agg(F.count("*").alias("packets"), F.min("ts").alias("first_seen"), F.min_by(F.hex(F.substring("payload", 1, 1)), F.struct("ts", "index")).alias("b"))
+    finding = F.struct(F.lit("UNSUPPORTED_TRANSPORT_QUIC").alias("rule_id"), F.lit("INFO").alias("severity"), F.lit("QUIC on a mail port: only TCP is read").alias("description"), F.concat(F.lit("port "), F.col("server_port").cast("string"), F.lit(", first byte 0x"), F.lower("b")).alias("evidence"))
+    return g.select("capture_id", "server_ip", "server_port", finding.alias("finding"), "packets", "first_seen")
+
+
 def hostname(sans: Column, ip_sans: Column, subject: Column, sni: Column, alpn_host: Column, ehlo: Column, reverse: Column) -> Column:
     """struct(status, method, reference, matched, cn_only): the first reference that is there is checked, and only that."""
     refs = {"sni": sni, "alpn": alpn_host, "ehlo": ehlo, "reverse_dns": reverse}

@@ -36,8 +36,8 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows, strict=True), cols, strict=True)], [n for n, _ in cols])
 
 
-def datagrams(packets: DataFrame) -> DataFrame:
-    """IPv4 and IPv6 packets that carry TCP, with their fragment fields; anything shorter than its headers is left out."""
+def datagrams(packets: DataFrame, protocols: tuple[int, ...] = (6,)) -> DataFrame:
+    """IPv4 and IPv6 packets that carry TCP (or other protocols, by number), with their fragment fields; anything shorter than its headers is left out."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -45,10 +45,10 @@ def datagrams(packets: DataFrame) -> DataFrame:
             for cap, index, ts, vlan, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if len(p) >= 20 and p[0] >> 4 == 4:
                     head, size = (p[0] & 15) * 4, int.from_bytes(p[2:4], "big")
-                    if head < 20 or size < head or p[9] != 6:
+                    if head < 20 or size < head or p[9] not in protocols:
                         continue
                     frag = int.from_bytes(p[6:8], "big")
-                    rows.append((cap, index, ts, vlan, str(ipaddress.IPv4Address(p[12:16])), str(ipaddress.IPv4Address(p[16:20])), 6, int.from_bytes(p[4:6], "big"), (frag & 0x1FFF) * 8, bool(frag & 0x2000), p[head : min(size, len(p))]))
+                    rows.append((cap, index, ts, vlan, str(ipaddress.IPv4Address(p[12:16])), str(ipaddress.IPv4Address(p[16:20])), p[9], int.from_bytes(p[4:6], "big"), (frag & 0x1FFF) * 8, bool(frag & 0x2000), p[head : min(size, len(p))]))
                 elif len(p) >= 40 and p[0] >> 4 == 6:
                     kind, at, end = p[6], 40, min(len(p), 40 + int.from_bytes(p[4:6], "big"))
                     ident, offset, more = 0, 0, False
@@ -57,8 +57,8 @@ def datagrams(packets: DataFrame) -> DataFrame:
                             field, ident = int.from_bytes(p[at + 2 : at + 4], "big"), int.from_bytes(p[at + 4 : at + 8], "big")
                             offset, more = field & 0xFFF8, bool(field & 1)
                         kind, at = p[at], at + (8 if kind == 44 else 8 + p[at + 1] * 8)
-                    if kind == 6:
-                        rows.append((cap, index, ts, vlan, str(ipaddress.IPv6Address(p[8:24])), str(ipaddress.IPv6Address(p[24:40])), 6, ident, offset, more, p[at:end]))
+                    if kind in protocols:
+                        rows.append((cap, index, ts, vlan, str(ipaddress.IPv6Address(p[8:24])), str(ipaddress.IPv6Address(p[24:40])), kind, ident, offset, more, p[at:end]))
             if rows:
                 yield _batch(rows, DATAGRAMS)
 
@@ -90,6 +90,13 @@ def defragmented(d: DataFrame) -> DataFrame:
     return whole.unionByName(parts.groupBy("capture_id", "src", "dst", "ident", "proto").applyInArrow(join, DATAGRAMS))
 
 
+def udp_payloads(packets: DataFrame) -> DataFrame:
+    """(capture_id, index, ts, src, sport, dst, dport, payload) of UDP datagrams, fragments put together; what is shorter than its header is left out."""
+    d = defragmented(datagrams(packets, (17,)))
+    number = lambda at: F.conv(F.hex(F.substring("body", at, 2)), 16, 10).cast("int")
+    return d.where(F.length("body") >= 8).select("capture_id", "index", "ts", "src", number(1).alias("sport"), "dst", number(3).alias("dport"), F.substring("body", 9, 65_535).alias("payload"))
+
+
 def segments(d: DataFrame, ports=MAIL_PORTS, keep: int | None = None) -> DataFrame:
     """TCP segments with a mail port at either end; keep cuts each segment's bytes."""
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import certificates, chains, decode, flow, revocation
-from ..sources.adapters import packets_from_conversations, packets_of_handshakes
+from ..operators import certificates, chains, decode, detectors, flow, revocation
+from ..sources.adapters import packets_from_conversations, packets_of_dialogues, packets_of_handshakes, parameter_turns
 from ..sources.capture import CaptureSource
 from ..sources.sinks import write_captures
 from ..sources.tables import epoch, table
@@ -156,3 +156,29 @@ def captured_files(spark, d):
     part = lambda i: F.split("client_ip", r"\.")[i].cast("long")
     conv = part(1) * 65536 + part(2) * 256 + part(3)
     return s.select(conv.alias("conv_id"), F.md5("c2s_payload").alias("c2s_md5"), F.md5("s2c_payload").alias("s2c_md5"), F.length("c2s_payload").alias("c2s_length"), F.length("s2c_payload").alias("s2c_length"), F.col("quality.complete").alias("complete"))
+
+
+@query("""WITH x AS (SELECT DISTINCT doc_id, [512, 1016, 1024, 2048, 4096][doc_id % 5 + 1] AS bits, 100000 * (doc_id % 12) AS lifetime, doc_id % 3 = 0 AS early FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, CAST(bits AS INTEGER) AS dh_key_bits, CAST(lifetime AS INTEGER) AS ticket_lifetime_seconds, early AS zero_rtt_used,
+array_to_string(list_filter([CASE WHEN early THEN 'HYGIENE-0RTT-SUBMISSION' END, CASE WHEN lifetime > 604800 THEN 'HYGIENE-LONG-TICKET' END, CASE WHEN bits < 1024 THEN 'KEX-DHE-LOGJAM' WHEN bits < 2048 THEN 'KEX-DHE-WEAK' ELSE 'KEX-DHE-2048' END], lambda v: v IS NOT NULL), ',') AS rules FROM x""")
+def captured_parameters(spark, d):
+    """From packets to scores: primes of key exchanges, lifetimes of tickets, offers of early data, and the rules that they make fire."""
+    ids = table(spark, d, "documents").where("doc_id is not null").select("doc_id").distinct()
+    suites = spark.range(500).select(F.hex(F.col("id") + 49152).alias("id"), F.lit("TLS_DHE_RSA_WITH_AES_128_GCM_SHA256").alias("name"))
+    x = rules.score(rules.parameters(decode.decoded(flow.sessions(packets_of_dialogues(ids, "doc_id", parameter_turns))), suites))
+    fired = F.array_sort(F.filter(F.transform("provenance", lambda v: v["rule_id"]), lambda v: v.rlike("^(KEX-DHE|HYGIENE-0RTT|HYGIENE-LONG)")))
+    return x.select(F.regexp_extract("capture_id", r"(\d+)$", 1).cast("long").alias("doc_id"), "dh_key_bits", "ticket_lifetime_seconds", "zero_rtt_used", F.array_join(fired, ",").alias("rules"))
+
+
+@query("""WITH x AS (SELECT event_id, user_id, [25, 443, 587, 993, 53][event_id % 5 + 1] AS port, event_id % 7 * 40 AS b FROM events)
+SELECT CAST(user_id % 3 AS VARCHAR) AS capture_id, '10.1.2.' || (user_id % 250) AS server_ip, CAST(port AS INTEGER) AS server_port, 'UNSUPPORTED_TRANSPORT_QUIC' AS rule_id, 'port ' || port || ', first byte 0x' || printf('%02x', CAST(arg_min(b, event_id) AS INTEGER)) AS evidence, count(*) AS packets
+FROM x WHERE port IN (25, 587, 993) AND b >= 128 GROUP BY user_id % 3, user_id % 250, port""")
+def quic_on_mail_ports(spark, d):
+    """UDP packets, one an event: those on mail ports whose first byte is a long QUIC header's, as one finding a server and port."""
+    e = F.col("event_id")
+    port = F.element_at(F.array(*map(F.lit, (25, 443, 587, 993, 53))), (e % 5 + 1).cast("int"))
+    byte = lambda v, n=2: F.lpad(F.hex(v), n, "0")
+    head = F.concat(F.lit("45000024000000004011" + "0000" + "C0A80001" + "0A0102"), byte(F.col("user_id") % 250), F.lit("C350"), byte(port, 4), F.lit("00100000"), byte(e % 7 * 40), F.lit("AABBCCDDEEFF77"))
+    x = table(spark, d, "events").select((F.col("user_id") % 3).cast("string").alias("capture_id"), e.alias("index"), e.cast("double").alias("ts"), F.lit(36).alias("caplen"), F.lit(36).alias("wirelen"), F.lit(None).cast("int").alias("vlan_id"), F.unhex(head).alias("payload"))
+    q = detectors.quic_findings(flow.udp_payloads(x))
+    return q.select("capture_id", "server_ip", "server_port", "finding.rule_id", "finding.evidence", "packets")

@@ -65,22 +65,23 @@ def parameters(decoded: DataFrame, suites: DataFrame, chains: DataFrame | None =
 
     suites: (id, name). A leaf `cert` (certificates.with_leaf) and a `host_status` are used where decoded has them;
     chains: (fingerprint_sha256, chain) of validated chains, joined by the leaf; without it a `chain` that decoded has
-    (chains.validated, revocation.with_revocation) is used, each session's own. The group is the client's first that is
-    not reserved, the key exchange the chosen suite's. What is not observed is null and matches no rule of its own.
+    (chains.validated, revocation.with_revocation) is used, each session's own. The group is the server's key
+    share or named curve, else the client's first that is not reserved, the key exchange the chosen suite's. What is not observed is null and matches no rule of its own.
     id is a hash of the flow and its start.
     """
     has = set(decoded.columns)
     out = with_suites(decoded, suites)
     server = F.col("tls.server_hello")
     cipher = F.when(server.isNotNull(), F.try_element_at("__suites", F.col("tls.server_hello.selected_cipher")))
-    group = F.get(strip_grease(F.coalesce("tls.client_hello.supported_groups", F.array().cast("array<int>"))), F.lit(0))
+    offered = F.get(strip_grease(F.coalesce("tls.client_hello.supported_groups", F.array().cast("array<int>"))), F.lit(0))
+    group = F.coalesce("tls.server_hello.key_share_group", "tls.curve", offered)
     groups = F.create_map(*[x for k, (name, bits) in GROUPS.items() for x in (F.lit(k), F.struct(F.lit(name).alias("name"), F.lit(bits).alias("bits")))])
     named = F.when(group.isNotNull(), F.try_element_at(groups, group))
     null = lambda kind: F.lit(None).cast(kind)
     out = out.withColumn("cipher", cipher).withColumn("__leaf", F.col("cert.fingerprint_sha256") if "cert" in has else null("string")).withColumns({
         "id": F.xxhash64("capture_id", "client_ip", "client_port", "server_ip", "server_port", "first_seen"), "dst_port": F.col("server_port"), "has_auth": F.size("fsm.auth_mechanisms_used") > 0,
         "cleartext_credentials_observed": F.col("fsm.credentials_in_cleartext"), "handshake_completed": F.col("tls.handshake_completed"), "cert_analysis_possible": F.col("tls.certificates_observable"), "compression_method": F.col("tls.server_hello.selected_compression").cast("int"),
-        "ticket_lifetime_seconds": null("int"), "zero_rtt_used": F.lit(False), "kex_algorithm": F.col("cipher.kex"), "named_group": F.when(F.col("cipher.kex") == "ECDHE", F.coalesce(named["name"], F.lit("unknown"))), "dh_key_bits": null("int"),
+        "ticket_lifetime_seconds": F.when(F.col("tls.ticket_lifetime").isNotNull(), F.least("tls.ticket_lifetime", F.lit(2**31 - 1))).cast("int"), "zero_rtt_used": F.array_contains("tls.client_hello.ext_order", 42), "kex_algorithm": F.col("cipher.kex"), "named_group": F.when(F.col("cipher.kex") == "ECDHE", F.coalesce(named["name"], F.lit("unknown"))), "dh_key_bits": F.col("tls.dh_key_bits"),
         "ec_bits": F.when(F.col("cipher.kex") == "ECDHE", named["bits"]), "cert": F.struct(*[F.col(f"cert.{x.split(':')[0]}").alias(x.split(":")[0]) for x in CERT[7:-1].split(",")]) if "cert" in has else null(CERT),
         "host_status": F.col("host_status") if "host_status" in has else null("string"), "known_compromised_spki": F.col("known_compromised_spki") if "known_compromised_spki" in has else F.lit(False),
     })

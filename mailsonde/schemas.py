@@ -19,6 +19,6 @@ HELLO = (
     "struct<legacy_version:int,random:binary,cipher_suites:array<int>,compression_methods:array<int>,ext_order:array<int>,supported_versions:array<int>,"
     "supported_groups:array<int>,ec_point_formats:array<int>,signature_algorithms:array<int>,alpn_protocols:array<string>,server_name:string>"
 )
-SERVER_HELLO = "struct<legacy_version:int,selected_version:int,random:binary,selected_cipher:int,selected_compression:int,ext_order:array<int>,selected_alpn:string,downgrade_sentinel:boolean,hello_retry:boolean>"
-TLS = f"struct<client_hello:{HELLO},server_hello:{SERVER_HELLO},certificates:array<binary>,alerts:array<struct<level:string,description:string>>,handshake_completed:boolean,certificates_observable:boolean,stapled_ocsp:binary>"
+SERVER_HELLO = "struct<legacy_version:int,selected_version:int,random:binary,selected_cipher:int,selected_compression:int,ext_order:array<int>,selected_alpn:string,downgrade_sentinel:boolean,hello_retry:boolean,key_share_group:int>"
+TLS = f"struct<client_hello:{HELLO},server_hello:{SERVER_HELLO},certificates:array<binary>,alerts:array<struct<level:string,description:string>>,handshake_completed:boolean,certificates_observable:boolean,stapled_ocsp:binary,ticket_lifetime:long,dh_key_bits:int,curve:int>"
 FINDINGS = ("rule_id", "severity", "session_id", "title", "evidence")

@@ -97,13 +97,13 @@ def mail_turns(n: int) -> tuple[int, list[tuple[str, bytes]]]:
     return {6: 465, 7: 993}.get(kind, 25), turns
 
 
-def packets_of_dialogues(ids: DataFrame, name: str) -> DataFrame:
+def packets_of_dialogues(ids: DataFrame, name: str, turns_of=mail_turns) -> DataFrame:
     """Packets of one mail dialogue for each number in the column `name`, which gives its kind, its cipher and the client's address."""
 
     def build(batches):
         for b in batches:
             for n in b.column(0).to_pylist():
-                port, turns = mail_turns(n)
+                port, turns = turns_of(n)
                 ends = {"c": (struct.pack(">I", 0x0A000000 | n & 0xFFFFFF), 40_000), "s": (b"\xac\x10\x00\x19", port)}
                 seq, out = {"c": 1000, "s": 5000}, []
                 for side, flags, data in [("c", 2, b""), ("s", 18, b""), *[(s, 24, x) for s, x in turns], ("c", 17, b""), ("s", 17, b"")]:
@@ -115,6 +115,27 @@ def packets_of_dialogues(ids: DataFrame, name: str) -> DataFrame:
     return ids.select(F.col(name).cast("long")).mapInArrow(build, PACKETS_DDL)
 
 
+#: Bits of the primes that parameter_turns() gives out, by turns.
+PRIMES = (512, 1016, 1024, 2048, 4096)
+
+
+def parameter_turns(n: int) -> tuple[int, list[tuple[str, bytes]]]:
+    """(port, turns) of an implicit session whose numbers follow from n: the prime of its key exchange, its ticket's lifetime, whether early data was offered."""
+    bits, cipher = PRIMES[n % len(PRIMES)], 0xC000 + n % 500
+    hello = client_hello([cipher], b"mail.example.org")
+    if n % 3 == 0:  # an empty early data extension, at the end
+        body = hello[9:]
+        at = 2 + 32 + 1 + 2 + 2 + 2
+        exts = body[at + 2 :] + b"\x00\x2a\x00\x00"
+        hello = _record(22, b"\1" + _sized(3, body[:at] + _sized(2, exts)))
+    prime = ((1 << bits) - 1).to_bytes(bits // 8, "big")
+    exchange = _sized(2, prime) + _sized(2, b"\2") + _sized(2, prime[1:]) + b"\4\1" + _sized(2, b"signature")
+    ticket = (100_000 * (n % 12)).to_bytes(4, "big") + _sized(2, b"ticket")
+    done = _record(20, b"\1") + _record(22, b"x" * 40)
+    answer = server_hello(cipher, b"s" * 32, None) + _record(22, b"\x0c" + _sized(3, exchange)) + _record(22, b"\4" + _sized(3, ticket))
+    return 465, [("c", hello), ("s", answer), ("c", done), ("s", done), ("c", _record(23, b"data"))]
+
+
 def packets_of_handshakes(rows: DataFrame) -> DataFrame:
     """Packets of one upgraded mail session a row of (id, at, certificates): it begins at `at` and its server shows these certificates.
 

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 
 import pytest
 from hypothesis import given, settings
@@ -184,3 +185,42 @@ def test_replies_and_records_in_one_segment():
     assert told(gap, "SMTP")[1]["state"] == "S4_ENCRYPTED"
     long = [("s2c", b"220 " + b"x" * 200_000), ("s2c", b"\r\n"), ("c2s", b"EHLO me\r\n")]
     assert told(long, "SMTP")[1]["state"] == "S1_GREETING"
+
+
+def test_what_servers_tell_of_key_exchange_and_tickets():
+    def told(*messages, extra=b""):
+        return decode.handshake(W.client_hello(), W.server_hello() + b"".join(W.record(22, W.message(k, b)) for k, b in messages) + extra)
+
+    prime = b"\xff" * 96
+    dh = W.v(2, prime) + W.v(2, b"\2") + W.v(2, b"\1" * 96) + b"\4\1" + W.v(2, b"s")
+    curve = b"\3\0\x1d" + W.v(1, b"k" * 32) + b"\4\1" + W.v(2, b"s")
+    assert (told((12, dh))["dh_key_bits"], told((12, dh))["curve"]) == (768, None)
+    assert (told((12, curve))["dh_key_bits"], told((12, curve))["curve"]) == (None, 29)
+    big = W.v(2, b"\xff" * 0x300) + W.v(2, b"\2") + W.v(2, b"\1" * 0x300)  # its length begins like a named curve
+    assert told((12, big))["dh_key_bits"] == 0x1800
+    for cut in range(len(dh)):
+        told((12, dh[:cut]))
+    assert told()["dh_key_bits"] is None and told()["ticket_lifetime"] is None and told()["stapled_ocsp"] is None
+    assert told((4, (700_000).to_bytes(4, "big") + W.v(2, b"t")), (4, b"\0\0\0\1" + W.v(2, b"t")))["ticket_lifetime"] == 700_000
+    assert told((22, b"\1" + W.v(3, b"answer")))["stapled_ocsp"] == b"answer" and told((22, b"\2" + W.v(3, b"x")))["stapled_ocsp"] is None
+    share = W.ext(43, b"\3\4") + W.ext(51, b"\0\x17" + W.v(2, b"p" * 65))
+    hello = W.record(22, W.message(2, b"\3\3" + b"s" * 32 + W.v(1, b"") + b"\x13\1\0" + W.v(2, share)))
+    assert decode.handshake(b"", hello)["server_hello"]["key_share_group"] == 23 and decode.handshake(b"", W.server_hello())["server_hello"]["key_share_group"] is None
+
+
+def test_udp_and_quic(spark):
+    from mailsonde.schemas import PACKETS
+
+    def udp(sport, dport, body, more=b""):
+        seg = struct.pack(">HHHH", sport, dport, 8 + len(body), 0) + body
+        return struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(seg), 7, 0, 64, 17, 0, W.ip4(W.CLIENT), W.ip4(W.SERVER)) + seg + more
+
+    bodies = [(25, b"\xc3abc"), (25, b"\x43abc"), (443, b"\xc3abc"), (587, b""), (25, b"\x80"), (25, b"\xff" * 40)]
+    rows = [("c", i, float(-i), 1, 1, None, udp(5000, port, body)) for i, (port, body) in enumerate(bodies)]
+    rows += [("c", 50, 1.0, 1, 1, None, udp(5000, 25, b"")[:24]), ("c", 51, 1.0, 1, 1, None, W.tcp(W.CLIENT, 1, W.SERVER, 25, 1, 24, b"\xc3"))]
+    p = spark.createDataFrame(rows, PACKETS)
+    got = flow.udp_payloads(p).orderBy("index").collect()
+    assert [(r["dport"], bytes(r["payload"])) for r in got] == bodies
+    (found,) = detectors.quic_findings(flow.udp_payloads(p)).collect()
+    assert (found["server_ip"], found["server_port"], found["packets"], found["first_seen"], found["finding"]["evidence"]) == (W.SERVER, 25, 3, -5.0, "port 25, first byte 0xff")
+    assert detectors.quic_findings(flow.udp_payloads(p.limit(0))).count() == 0 and flow.sessions(p).count() == 1
