@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.features import hashed, imputed
-from ..operators import corpus, decode, detectors, flow, governance, overview, profile, relational, search
+from ..operators import comparison, corpus, decode, detectors, flow, governance, overview, profile, relational, search
 from ..operators.feature_model import FeaturePipeline, FeaturePipelineModel
 from ..sources import sinks
 from ..sources.adapters import packets_from_conversations, packets_of_dialogues
@@ -686,6 +686,16 @@ def stored_model(spark, d):
     return spark.createDataFrame([(names[f], i, round(q, 6)) for f, i, q in grid], "feature string, i int, q double")
 
 
+@query("""WITH f AS (SELECT source, toxic, CAST(floor(CAST('0x' || substr(md5('42|' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 5) AS INTEGER) AS fold FROM labels JOIN documents USING (doc_id) WHERE toxic IN (0, 1)),
+c AS (SELECT fold, count(*) AS n, count(*) FILTER (toxic = 1) AS n_toxic, count(DISTINCT source) AS n_groups FROM f GROUP BY fold) SELECT fold, n AS n_test, n_toxic, n_groups, (SELECT count(*) FROM f) - n AS n_train FROM c""")
+def grouped_folds(spark, d):
+    """Folds that keep a source whole: rows, toxic rows and sources of each, and how many rows its model may learn from."""
+    x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").where(F.col("toxic").isin(0, 1))
+    x = comparison.with_fold(x.select("source", "toxic"), "source")
+    g = x.groupBy("fold").agg(F.count("*").alias("n_test"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_distinct("source").alias("n_groups"))
+    return g.join(F.broadcast(x.agg(F.count("*").alias("all"))), F.lit(True)).select("fold", "n_test", "n_toxic", "n_groups", (F.col("all") - F.col("n_test")).alias("n_train"))
+
+
 @query("SELECT doc_id, coalesce(CAST(quality AS DOUBLE), (SELECT quantile_cont(quality, 0.5) FROM labels)) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def median_imputation(spark, d):
     x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
