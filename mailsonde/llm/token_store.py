@@ -112,8 +112,17 @@ def segment_bytes(docs: list[tuple[int | None, bytes]], bits: int = BITS) -> Ite
 
 #: Lower-case Latin letters, which the rules before the model leave whole, and marks after them, which they cut off.
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
-#: The steps before the model under which all this holds.
-_STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+#: The steps before the model under which all this holds, patterns and all; a vocabulary with any other gets whole texts.
+_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 class Encoder:
@@ -134,8 +143,7 @@ class Encoder:
         self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {b"": b""}
         self.end = b"" if end is None else struct.pack("<I", end)
         steps = json.loads(self.tokenizer.to_str())
-        kinds = tuple([x["type"] for x in (steps[k] or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
-        self.cuts = kinds == _STEPS
+        self.cuts = (steps["normalizer"], steps["pre_tokenizer"]) == _STEPS
         self.special = [x["content"].encode().translate(_FOLD) for x in steps["added_tokens"] if not x["normalized"]]
         # The model reads bytes under printable names, as its own step before gives them.
         self.names = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "÷"}

@@ -150,8 +150,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
     Equal payloads of least_bytes or more: the record of smallest id is a response, others are revisits of it. Where
     rows share that id as well, or have none, all without a smaller id to refer to are responses. Without a column ts a
     page was captured its id in seconds after EPOCH. Firsts are found over digests alone; where revisits are too many to
-    be sent to all tasks, pages are shuffled once by id. A task's files have names that depend on the task alone and are
-    written whole.
+    be sent to all tasks, pages are shuffled once by id. A task's files are written whole under
+    names that hold the attempt: one that runs beside another, over rows in another order, leaves the other's files alone,
+    and marks name those of the attempt that counted.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     when = F.date_format(F.col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'") if ts else F.lit(None).cast("string")
@@ -165,8 +166,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
-        name, run, lines = f"{path}/pages-{task:06d}.warc.gz", f"{path}/run-{task:06d}.idx", []
+        task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        name, run, lines = f"{path}/pages-{task:06d}-{attempt}.warc.gz", f"{path}/run-{task:06d}-{attempt}.idx", []
 
         def members() -> Iterator[bytes]:
             at = 0
@@ -242,8 +243,10 @@ def merge_runs(marks: DataFrame, path: str | None = None, per_range: int = MARKS
         folder = f"{path}/pass-{level}"
 
         def to_run(table: pa.Table) -> pa.Table:
+            from pyspark import TaskContext
+
             into, number, lines = merged(table)
-            name = f"{folder}/run-{into}-{number:09d}.idx"
+            name = f"{folder}/run-{into}-{number:09d}-{TaskContext.get().taskAttemptId()}.idx"
             found = write_run(name, lines)
             return pa.Table.from_batches([mark_rows(into, number << 32, name, found)] if found else [], mark_rows(0, 0, "", [("", 0, 0)]).schema)
 

@@ -97,6 +97,22 @@ def test_special_tokens_are_matched_as_written():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_a_vocabulary_with_another_pattern_gets_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(token_store.default_vocabulary()) as f:
+        told = json.load(f)
+    told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+ \S+|\S+"  # words in twos: a blank cuts nothing
+    (path := tmp_path / "other.json").write_text(json.dumps(told))
+    encode, tok = token_store.Encoder(str(path), None), Tokenizer.from_file(str(path))
+    assert not encode.cuts and token_store.Encoder(token_store.default_vocabulary(), None).cuts
+    for t in ("one two three", "A b\nc d", ""):
+        ((_, ids),) = encode([(1, t.encode())])
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(t, add_special_tokens=False).ids
+
+
 def brute_components(n, links):
     label = list(range(n))
 
