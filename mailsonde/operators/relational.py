@@ -1,4 +1,4 @@
-"""Small relational operators: lookups with defaults, deduplication, idle sessions, chains, set checks."""
+"""Relational operators: lookups with defaults, deduplication, idle sessions, trailing counts, interval joins, chains, set checks."""
 
 from __future__ import annotations
 

@@ -13,6 +13,8 @@ import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+
 from .capture import LARGEST, MAGIC, SECTION, Capture, CaptureError, link_payload
 
 CHUNK, SPLIT = 1 << 20, 128 << 20
@@ -107,24 +109,44 @@ def step(data: Bytes, head: Head, place: int) -> int | None:
     return place + size if data.at(place + size - 4, 4) == raw[4:8] else None
 
 
+def plausible(data: Bytes, head: Head, start: int, stop: int) -> list[int]:
+    """Places in [start, stop) at which a record or block may begin, by its own fields alone; all of them are looked at in one pass."""
+    raw = np.frombuffer(data.at(start, stop - start + 16), np.uint8).astype(np.uint32)
+    n = max(0, min(stop - start, len(raw) - 15))
+    order = range(4) if head.order == "<" else range(3, -1, -1)
+    number = lambda at: sum(raw[at + i : at + i + n] << np.uint32(8 * k) for i, k in enumerate(order))
+    if head.format == "pcap":
+        frac, cap, wire = number(4), number(8), number(12)
+        good = (frac < head.ticks) & (cap <= head.longest - 16) & (cap <= wire) & (wire <= LARGEST)
+    else:  # blocks are padded to words
+        kind, size = number(0), number(4)
+        good = (size >= 12) & (size % 4 == 0) & (size <= max(head.longest, CHUNK)) & (kind != 0) & ((start + np.arange(n)) % 4 == 0)
+    return (start + np.flatnonzero(good)).tolist()
+
+
 def first_record(data: Bytes, head: Head, place: int) -> int:
     """The first record or block that begins at `place` or later; the file's size if there is none.
 
-    The search begins two longest records before and follows the records from there, so it never judges by what is left
-    of the file after `place`.
+    The search begins two longest records before and follows what may be records from there up to `place`, so it never
+    judges by what is left of the file after it. Of several ways through the bytes the one of most records counts: false
+    headers that long false lengths tie together take few steps, the true ones many.
     """
     if place <= head.first:
         return head.first
-    stride = 4 if head.format == "pcapng" else 1  # blocks are padded to words
     base = place - 2 * head.longest
-    starts = range(base + -base % stride, base + head.longest + stride, stride) if base > head.first else (head.first,)
-    for at in starts:
+    best, found, ends = 0, data.size, {}
+    for at in plausible(data, head, base, base + head.longest) if base > head.first else [head.first]:
         to: int | None = at
-        while to is not None and to < place:
+        way = []
+        while to is not None and to < place and to not in ends:
+            way.append(to)
             to = step(data, head, to)
-        if to is not None:
-            return to
-    return data.size
+        steps, end = ends.get(to, (0, to))
+        for k, x in enumerate(reversed(way), 1):
+            ends[x] = steps + k, end
+        if way and end is not None and ends[at][0] > best:
+            best, found = ends[at][0], end
+    return found
 
 
 def records(data: Bytes, head: Head, start: int, stop: int, whole: bool) -> Iterator[tuple[int, float, int, int, bytes]]:

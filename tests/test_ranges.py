@@ -59,6 +59,9 @@ def captures():
     yield "carried", W.pcap(inside(r, carried), snaplen=65535)
     yield "carried blocks", W.pcapng(inside(r, W.pcapng(frames(r, 300, 30))))
     yield "zeros", W.pcap([(W.T0, W.ethernet(W.tcp(W.CLIENT, 1, W.SERVER, 25, i, 24, b"\0" * r.randint(0, 4000)))) for i in range(60)], snaplen=65535)
+    zeros = [(W.T0 + i, W.tcp("10.0.0.1", 40000, "10.0.0.2", 25, i, 24, r.choice([b"text ", b"\0\0\0\1", b"\0"]) * r.randint(0, 300))) for i in range(2500)]
+    yield "long records allowed", W.pcap(zeros, link=101)
+    yield "long blocks allowed", W.pcapng(zeros, link=101)
     yield "cut", W.pcap(some)[:-7]
     yield "cut head", W.pcap(some)[: -len(some[-1][1]) - 3]
 
@@ -67,7 +70,7 @@ def captures():
 def test_every_split_gives_the_same_packets(tmp_path, name, data):
     (path := tmp_path / "a.cap").write_bytes(data)
     want = wholly(data)
-    for split in (1, 100, 1013, 4096, 30_000, len(data), 10 * len(data)) if len(data) < 5000 else (509, 4096, 30_000, len(data), 10 * len(data)):
+    for split in (1, 100, 1013, 4096, 30_000, len(data), 10 * len(data)) if len(data) < 5000 else (509, 4096, 30_000, len(data), 10 * len(data)) if len(data) < 1_000_000 else (97_001, 400_000):
         assert by_ranges(path, len(data), split) == want, split
 
 
