@@ -71,6 +71,9 @@ def find_hits(docs: DataFrame, key, benchmark: DataFrame, text: str = "text", ca
     hashes go into the plan as a constant set, and the join that verifies is a broadcast; beyond it, candidates come
     from a shuffled join of all document windows with the benchmark's. Only keys, counts and candidate windows are
     shuffled. A null text has no words; an item without words has no window; with no documents or items there are no hits.
+    Texts are read whole; the windows of one, however long, are one row's work. Rows of one key are one: they tell the
+    same hits. docs is read for key, text and carry alone, so columns named __key or __carry in it only clash if they are
+    meant themselves; items of equal text are told together, sorted as text.
     """
     grams = stored(windows(benchmark, item, item_text, span), "windows")
     small = grams.limit(set_limit + 1).count() <= set_limit
@@ -110,7 +113,13 @@ def find_hits(docs: DataFrame, key, benchmark: DataFrame, text: str = "text", ca
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, n_items, items, items_sha256, contaminated. Repeated rows count each for itself."""
+    """Per row of docs: id, n_words, n_hit, n_items, items, items_sha256, contaminated.
+
+    Repeated rows count each for itself, null ids keep null; null and empty texts have no words and no hits, texts of any
+    length are read whole. An empty table gives no rows, an empty benchmark no hits. Other columns are not read. Rows are
+    told apart by their place in the scan, so docs must be a table, or anything that gives the same rows in the same order
+    when a part of it is computed again.
+    """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
     found = find_hits(rows, F.monotonically_increasing_id(), benchmark, "__text", "__id", **how)
     items = F.array_join("items", ",")
@@ -123,7 +132,11 @@ def _named(docs: DataFrame, text: str) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_share: float = 0.0, **how) -> DataFrame:
-    """docs without contaminated documents: those whose hit words exceed drop_share of all their words (0: any hit)."""
+    """docs without contaminated documents: those whose hit words exceed drop_share of all their words (0: any hit).
+
+    Rows are judged by their texts alone, so repeated rows and equal texts stay or go together; null and empty texts
+    stay. An empty benchmark drops nothing, an empty table gives no rows. docs must not have a column __name.
+    """
     named = _named(docs, text)
     found = find_hits(named, F.col("__name"), benchmark, text, **how)
     bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * F.lit(drop_share))).select(F.col("__key").alias("__name"))
@@ -131,7 +144,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", dr
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
-    """docs with hit words cut out of the text: the words that stay, with whatever stood before each of them."""
+    """docs with hit words cut out of the text: the words that stay, with whatever stood before each of them.
+
+    Texts without hits stay as they are, null and empty ones too; a text that is all hits keeps what follows its last
+    word. Repeated rows each stay; an empty table gives no rows. docs must not have columns __name or __spans.
+    """
     named = _named(docs, text)
     found = find_hits(named, F.col("__name"), benchmark, text, **how).select(F.col("__key").alias("__name"), F.col("spans").alias("__spans"))
     joined = named.join(found, "__name")

@@ -205,8 +205,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Links join documents whose sets of distinct word n-grams (shorter texts: all words as one) have a Jaccard
     similarity of percent / 100 or more. Null and empty texts have the empty set and link with nothing. Equal sets are
     one vertex from the start, whatever their number. Rows that share an id are one document, which has the links of all
-    its texts; rows with a null id keep
-    a null component and stay. An empty table gives no rows. Other columns are not read.
+    its texts; rows with a null id keep a null component and stay. Texts of any length are read whole, one at a time: a
+    set's hashes are sorted in one task. Ties do not arise: a component is named by its smallest id, links count by
+    integers. An empty table gives no rows. Other columns are not read.
     """
     text_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     sig = stored(signatures(docs, id_col, text, n, by_letters, bands, rows), "signatures")
@@ -248,6 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one document of each group: the one of smallest id. All rows of a kept id, and rows without id, stay."""
+    """docs with one document of each group: the one of smallest id. All rows of a kept id, and rows without id, stay.
+
+    Null and empty texts are in no group and stay; an empty table gives no rows. docs must not have a column __gone.
+    """
     gone = near_duplicates(docs, id_col, text, **how).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

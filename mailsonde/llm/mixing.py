@@ -91,7 +91,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with docs' columns; documents without words, null texts among them, go.
 
-    The plan is joined by id and text; rows that share both come as often as the first taken. No documents: no rows.
+    The plan is joined by id and text; rows that share both come as often as the one taken most. Null ids and sources are
+    kept apart as in plan_mix(); texts are read whole. No documents: no rows. docs must not have columns __times or __copy.
     """
     times = plan_mix(docs, id_col, **how).where("times > 0 and size > 0").groupBy("id", "h").agg(F.max("times").alias("__times"))
     text = docs[how.get("text", "text")]

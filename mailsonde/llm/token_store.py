@@ -223,7 +223,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     Range partitioning by id alone (its samples go to the driver: ids, no texts) gives each task a run of doc_ids, sorted; a task cuts its run into segments of about segment_ids
     ids, never inside a document, named so that file names sort as their documents. A task's files are written whole
     under names that depend only on the task, so a task run again overwrites its own. Null ids come last; null texts
-    are empty; repeated ids stay, ordered by text. An empty table writes nothing. Other columns are not read.
+    are empty; repeated ids stay, ordered by text. An empty table writes nothing. Other columns are not read, so no name of
+    theirs clashes.
     """
     vocabulary = vocabulary or default_vocabulary()
 

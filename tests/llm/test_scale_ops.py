@@ -291,6 +291,31 @@ def test_pipeline_stages(spark):
     assert len(tokens) == n and sum(r["n_tokens"] for r in tokens) == max(r["start"] + r["n_tokens"] for r in tokens)
 
 
+def test_pipeline_stages_on_odd_rows(make, spark):
+    """Nulls, empty and long texts, repeated rows, columns with names that operators use, and empty tables, in every stage."""
+    sf = "/root/testdata/sf0.001"
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [*ODD, (20, "one two three four five six seven"), (20, "one two three four five six seven"), (21, "one two three four five six seven"), (22, f"before {leak} after"), (23, "a plain text of its own")]
+    docs, empty = make(rows), make([]).limit(0)
+    key = lambda df: sorted((str(r["doc_id"]), str(r["text"])[:50]) for r in df.select("doc_id", "text").collect())
+    everything = key(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = key(out)
+        if name == "toxicity":
+            assert got == everything
+        elif name == "near copies":
+            assert got == [x for x in everything if x[0] != "21"]
+        elif name == "benchmark":
+            assert got == [x for x in everything if x[0] != "22"]
+        else:
+            assert set(got) <= set(everything) and not {"1", "2", "3"} & {i for i, _ in got}
+        assert stage(spark, empty, sf).columns == docs.columns and stage(spark, empty, sf).count() == 0, name
+    tokens = corpus_pipeline.STAGES[-1][1]
+    assert sorted(str(r["doc_id"]) for r in tokens(spark, docs, sf).collect()) == sorted(i for i, _ in everything) and tokens(spark, empty, sf).count() == 0
+
+
 def test_toxicity_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
