@@ -20,6 +20,8 @@ from .capture import LARGEST, MAGIC, SECTION, Capture, CaptureError, link_payloa
 CHUNK, SPLIT = 1 << 20, 128 << 20
 #: What a file without a snapshot length may hold in one record.
 ANY_LENGTH = 262_144
+#: Seconds that a capture lasts at most where ranges look for records: a packet's own length fields may mimic a header, but no time.
+YEAR = 366 * 86_400
 BLOCK_ROOM = 4096  # options and fields of a block beside its packet
 
 
@@ -56,6 +58,7 @@ class Head(NamedTuple):
     snaplen: int
     first: int  # where the first record or block after the head lies
     interfaces: tuple[tuple[int, int, int], ...] = ()  # (link, snaplen, ticks)
+    since: int = 0  # seconds of the first record of a classic file
 
     @property
     def longest(self) -> int:
@@ -72,7 +75,8 @@ def head_of(data: Bytes) -> Head:
         if len(raw := data.at(4, 20)) < 20:
             raise CaptureError("the file header is cut short")
         *_, snaplen, link = struct.unpack(order + "HHiIII", raw)
-        return Head("pcap", order, ticks, link & 0xFFFF, snaplen, 24)
+        since = data.at(24, 4)
+        return Head("pcap", order, ticks, link & 0xFFFF, snaplen, 24, since=struct.unpack(order + "I", since)[0] if len(since) == 4 else 0)
     if magic != SECTION:
         raise CaptureError(f"not a capture: {magic.hex() or 'empty'}")
     order, place, interfaces = (">" if data.at(8, 4) == b"\x1a\x2b\x3c\x4d" else "<"), 0, []
@@ -94,8 +98,8 @@ def step(data: Bytes, head: Head, place: int) -> int | None:
         raw = data.at(place, 16)
         if len(raw) < 16:
             return data.size
-        _, frac, cap, wire = struct.unpack(head.order + "IIII", raw)
-        if frac >= head.ticks or cap > head.longest - 16 or cap > wire or wire > LARGEST:
+        sec, frac, cap, wire = struct.unpack(head.order + "IIII", raw)
+        if abs(sec - head.since) > YEAR or frac >= head.ticks or cap > head.longest - 16 or cap > wire or wire > LARGEST:
             return None
         return min(data.size, place + 16 + cap)
     raw = data.at(place, 8)
@@ -116,8 +120,8 @@ def plausible(data: Bytes, head: Head, start: int, stop: int) -> list[int]:
     order = range(4) if head.order == "<" else range(3, -1, -1)
     number = lambda at: sum(raw[at + i : at + i + n] << np.uint32(8 * k) for i, k in enumerate(order))
     if head.format == "pcap":
-        frac, cap, wire = number(4), number(8), number(12)
-        good = (frac < head.ticks) & (cap <= head.longest - 16) & (cap <= wire) & (wire <= LARGEST)
+        sec, frac, cap, wire = number(0).astype(np.int64), number(4), number(8), number(12)
+        good = (abs(sec - head.since) <= YEAR) & (frac < head.ticks) & (cap <= head.longest - 16) & (cap <= wire) & (wire <= LARGEST)
     else:  # blocks are padded to words
         kind, size = number(0), number(4)
         good = (size >= 12) & (size % 4 == 0) & (size <= max(head.longest, CHUNK)) & (kind != 0) & ((start + np.arange(n)) % 4 == 0)

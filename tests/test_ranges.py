@@ -60,6 +60,8 @@ def captures():
     yield "carried blocks", W.pcapng(inside(r, W.pcapng(frames(r, 300, 30))))
     yield "zeros", W.pcap([(W.T0, W.ethernet(W.tcp(W.CLIENT, 1, W.SERVER, 25, i, 24, b"\0" * r.randint(0, 4000)))) for i in range(60)], snaplen=65535)
     zeros = [(W.T0 + i, W.tcp("10.0.0.1", 40000, "10.0.0.2", 25, i, 24, r.choice([b"text ", b"\0\0\0\1", b"\0"]) * r.randint(0, 300))) for i in range(2500)]
+    # The lengths in these packets' own headers read as a record's, eleven bytes on, and lead from one packet to the next.
+    yield "like headers", W.pcap([(W.T0 + i, W.tcp("10.0.0.1", 40000, "10.0.0.2", 25, i, 24, b"x" * 97, ident=0)) for i in range(9000)], link=101)
     yield "long records allowed", W.pcap(zeros, link=101)
     yield "long blocks allowed", W.pcapng(zeros, link=101)
     yield "cut", W.pcap(some)[:-7]
