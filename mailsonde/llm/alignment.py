@@ -110,10 +110,10 @@ class Pair:
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
         self.text_a, self.text_b = (np.array([str(i).encode() for i in range(len(y))]) for y in (self.bytes_a, self.bytes_b))
-        # Pieces of B that hold a blank after something else would go over cuts.
-        self.cuts = not any(re.search("[^▁]▁", x) for x in names)
         steps = json.loads(self.a.to_str())
         self.plain = (steps["normalizer"], steps["pre_tokenizer"]) == _STEPS
+        # A's own step begins a token at each cut; pieces of B that hold a blank after something else would go over it.
+        self.cuts = self.plain and not any(re.search("[^▁]▁", x) for x in names)
         self.shown = {i: "".join(k for x in chr(i).encode() for k, v in shown.items() if v[0] == x) for i in range(0xC0, 0x100)}
         self.marks: dict[str, list[int]] = {"": []}
         self.known: dict[str, tuple[bytes, bytes, bool]] = {}

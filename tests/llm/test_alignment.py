@@ -100,5 +100,20 @@ def test_memory_of_pieces_and_long_texts(both):
     assert [x[:5] for x in one] == [x[:5] for x in many]
 
 
+def test_other_vocabularies_get_whole_texts(tmp_path, both):
+    import json
+
+    a, b = alignment.default_vocabularies()
+    with open(a) as f:
+        told = json.load(f)
+    told["pre_tokenizer"]["use_regex"] = False  # tokens may go over blanks
+    (path := tmp_path / "a.json").write_text(json.dumps(told))
+    other = alignment.Pair(str(path), b)
+    assert both.cuts and not other.cuts
+    texts = ["of the new york city", "a  b\nc it's", ""]
+    for t, (x, y) in zip(texts, other(iter(texts)), strict=True):
+        assert x.tolist() == (other.a.encode(f" {t}", add_special_tokens=False).ids if t else []) and y.tolist() == both.b.encode(t)
+
+
 def test_empty_table(spark):
     assert alignment.alignment(spark.createDataFrame([], "doc_id long, text string")).count() == 0
