@@ -391,9 +391,11 @@ def split_disjointness(spark, d):
     return relational.shared_keys(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995 AND o_orderstatus = 'F'")
 def missing_expected(spark, d):
-    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Customers without a finished order in 1995."""
+    seen = table(spark, d, "orders").where((F.year("o_orderdate") == 1995) & (F.col("o_orderstatus") == "F"))
+    return table(spark, d, "customer").select("c_custkey").exceptAll(seen.select(F.col("o_custkey").alias("c_custkey")))
 
 
 # -- scalar functions
@@ -609,10 +611,15 @@ def key_strengths(spark, d):
     return table(spark, d, "part").select("p_partkey", S.factoring_strength(b).alias("factoring"), S.curve_strength(b).alias("curve"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN sha256(p_name) = sha256(p_name) ELSE sha256(p_brand) = sha256(p_name) END AS matches FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN false WHEN p_partkey % 5 = 1 THEN p_name = p_brand WHEN p_partkey % 7 = 3 THEN false ELSE true END AS matches FROM part""")
 def dane_match(spark, d):
-    data = F.sha2(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("p_brand")), 256)
-    return table(spark, d, "part").select("p_partkey", detectors.dane_match(F.lit(0), F.lit(1), data, F.col("p_name").cast("binary"), F.lit(b"")).alias("matches"))
+    """Records over a name as certificate and a brand as key: whole, SHA-256 and SHA-512; cut off, of the other one, and of a matching that there is not."""
+    k, selector, matching = F.col("p_partkey"), F.col("p_size") % 2, F.when(F.col("p_partkey") % 7 == 3, 3).otherwise(F.col("p_partkey") % 3)
+    cert, key = F.col("p_name").cast("binary"), F.col("p_brand").cast("binary")
+    source = F.when((selector == 0) == (k % 5 != 1), cert).otherwise(key)
+    data = F.when(matching == 0, F.hex(source)).when(matching == 1, F.upper(F.sha2(source, 256))).otherwise(F.sha2(source, 512))
+    data = F.when(k % 5 == 0, F.substring(data, 3, 1000)).otherwise(data)
+    return table(spark, d, "part").select("p_partkey", detectors.dane_match(selector, matching, data, cert, key).alias("matches"))
 
 
 @query("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) AS host FROM pages)
