@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import space_words, stored
+from .common import broadcast_if_small, space_words, stored
 from .common import words as all_words
 from .graph import components
 
@@ -26,6 +27,8 @@ from .graph import components
 BANDS, ROWS = 30, 5
 #: Shingles of a chunk of a bucket.
 GROUP = 400_000
+#: Documents for each task that writes a table of the steps after the signatures: 450 000 band keys, some 25 MB.
+DOCS = 15_000
 _C1, _C2, _C3, _C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _U33, _U31 = np.uint64(33), np.uint64(31)
 
@@ -119,37 +122,30 @@ def signatures(docs: DataFrame, id_col: str, text: str, n: int, by_letters: bool
 
 
 def shingle_sets(docs: DataFrame, n: int, by_letters: bool) -> DataFrame:
-    """(id, digest, s) of docs (id, t): s is the sorted set of hashes, packed; digest names it."""
+    """(id, digest, s) of docs (id, t): s is the sorted set of hashes, as signed numbers; digest names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingle = Shingler(n, all_words if by_letters else space_words)
         for b in batches:
-            sets = [shingle(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "s"])
+            sets = [shingle(t.as_py()) for t in b.column(1)]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)], dtype=np.int32), np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], ["id", "digest", "s"])
 
-    return docs.mapInArrow(run, "id long, digest binary, s binary")
+    return docs.mapInArrow(run, "id long, digest binary, s array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of those (a, da, b, db) with 100 * intersection >= percent * union, on the full sets that da and db name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                # Both are sorted and distinct: what is in q is found by place.
-                at = np.searchsorted(q, p)
-                both = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p)) if len(p) and len(q) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+    """The pairs (a, b) of those (a, da, b, db) with 100 * intersection >= percent * union, on the full sets that da and db name.
 
+    A pair is compared at a time, as a row: what a task holds does not grow with the pairs of a batch.
+    """
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("digest").alias("da"), F.col("s").alias("sa")), ["a", "da"])
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("digest").alias("db"), F.col("s").alias("sb")), ["b", "db"])
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pair = left.join(sets.select(F.col("id").alias("b"), F.col("digest").alias("db"), F.col("s").alias("sb")), ["b", "db"])
+    # The same bound, with the intersection counted once; empty sets meet no bound.
+    both, total = F.size(F.array_intersect("sa", "sb")).cast("long"), (F.size("sa") + F.size("sb")).cast("long")
+    return pair.where(both * (100 + percent) >= F.greatest(total * percent, F.lit(1))).select("a", "b")
 
 
 def links_within(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,10 +167,13 @@ def links_within(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     def compare(table: pa.Table) -> pa.Table:
         reps, ks = np.asarray(table["rep"]), np.asarray(table["k"])
-        each = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
-        sizes = np.array([len(x) for x in each])
+        s = table["s"].combine_chunks()
+        if pa.types.is_binary(s.type):  # packed
+            sizes, flat = np.asarray(pc.binary_length(s)).astype(np.int64) // 8, np.frombuffer(b"".join(s.to_pylist()), np.int64)
+        else:
+            sizes, flat = np.asarray(pc.list_value_length(s)).astype(np.int64), np.asarray(s.flatten())
         starts = np.cumsum(sizes) - sizes
-        values, index = np.unique(np.concatenate(each), return_inverse=True)
+        values, index = np.unique(flat, return_inverse=True)
         names, own, counts = np.unique(ks, return_inverse=True, return_counts=True)
         root, out, mark = list(range(len(names))), [], np.zeros(len(values), bool)
 
@@ -211,12 +210,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     text_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     sig = stored(signatures(docs, id_col, text, n, by_letters, bands, rows), "signatures")
-    classes = stored(sig.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
+    few = 1 + sig.count() // DOCS
+    classes = stored(sig.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("rows")), "classes", few)
     own = sig.alias("s").join(classes.alias("c"), (F.col("s.digest") == F.col("c.digest")) & (F.col("s.id") == F.col("c.rep")))
     own = own.select("rep", "s.digest", "n", "keys").dropDuplicates(["rep", "digest"])
     members = own.select("rep", "digest", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = stored(members.join(shared, "key").select("key", "rep", "digest", "n", "m"), "buckets")
+    members = stored(members.join(shared, "key").select("key", "rep", "digest", "n", "m"), "buckets", few)
 
     centre = members.groupBy("rep", "digest").agg(F.sum("m").alias("met"))
     ranked = members.join(centre, ["rep", "digest"]).groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "digest", "n")).alias("c"))
@@ -225,16 +225,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     star = star.select(F.col("x.rep").alias("a"), F.col("x.digest").alias("da"), F.col("y.rep").alias("b"), F.col("y.digest").alias("db"), F.least("x.n", "y.n").alias("lo"), F.greatest("x.n", "y.n").alias("hi"))
     # Sets whose sizes alone keep the similarity below the bound need no check: intersection <= lo, union >= hi.
     allowed = F.col("lo") * 100 >= F.col("hi") * percent
-    tried = stored(star.where((F.col("a") < F.col("b")) & allowed).select("a", "da", "b", "db").distinct(), "star-pairs")
+    tried = stored(star.where((F.col("a") < F.col("b")) & allowed).select("a", "da", "b", "db").distinct(), "star-pairs", few)
 
-    ends = members.select("rep").distinct()
-    sets = stored(shingle_sets(text_rows.join(ends, text_rows["id"] == ends["rep"], "left_semi"), n, by_letters), "sets")
+    ends = broadcast_if_small(members.select("rep").distinct())
+    sets = stored(shingle_sets(text_rows.join(ends, text_rows["id"] == ends["rep"], "left_semi"), n, by_letters), "sets", few)
     # An id with several texts joins their classes.
     several = sig.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id")
-    several = stored(several, "ids-of-several-texts")
+    several = stored(several, "ids-of-several-texts", few)
     same = sig.select("id", "digest").join(several, "id").join(classes, "digest").where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(tried, sets, percent).unionByName(same), "links")
-    found = stored(components(links), "components")
+    links = stored(verified(tried, sets, percent).unionByName(same), "links", few)
+    found = stored(components(links), "components", few)
 
     placed = members.join(found, members["rep"] == found["id"], "left").select("key", "rep", "digest", "n", F.coalesce("component", "rep").alias("k"))
     split = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.ceil(F.sum("n") / GROUP).cast("int").alias("chunks")).where("lo < hi").select("key", "chunks")
@@ -242,7 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    named = classes.join(found, classes["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    # A row that is alone in its class and has no link names itself.
+    named = classes.join(found, classes["rep"] == found["id"], "left").where("rows > 1 or component is not null")
+    named = broadcast_if_small(named.select("digest", F.coalesce("component", "rep").alias("component")))
     out = sig.drop("keys").join(named, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -6,6 +6,7 @@ import hashlib
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailsonde.llm import embedding_dedup, graph, minhash_dedup, mixing, token_store, toxicity, warc
-from mailsonde.llm.common import space_words, words
+from mailsonde.llm.common import file_system, space_words, words, work_dir
 
 ODD = [(None, "no id"), (1, None), (2, ""), (3, "  \n "), (4, "Ä Ö"), (4, "Ä Ö"), (5, "word " * 60_000)]
 
@@ -233,6 +234,38 @@ def test_bucket_comparison_is_whole(spark, rnd, monkeypatch):
     assert brute_components(len(ids), found) == brute_components(len(ids), links) and links
 
 
+def test_steps_after_the_signatures_write_few_files(spark, make):
+    """A table of few rows is one file, whatever the number of shuffle partitions: each file costs its executor processes.
+
+    Signatures and the comparison within buckets stay as parallel as their inputs.
+    """
+    base = [[f"{k}{i}" for i in range(40)] for k in range(9)]
+    rows = [(10 * k + v, " ".join([*base[k][: 4 * v], f"z{v}", *base[k][4 * v + 1 :]])) for k in range(9) for v in range(9)]
+    here, conf = Path(file_system(work_dir(spark))[1]), {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, were = set(here.glob("*")), {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = minhash_dedup.near_duplicates(make(rows), n=2).collect()
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i // 10 * 10) for i, _ in rows}
+    files = {p.name: len(list(p.glob("part-*"))) for p in set(here.glob("*")) - before}
+    assert len(files) > 10 and all(n == 1 for name, n in files.items() if not name.startswith(("signatures", "more-links"))), files
+
+
+def test_verified_is_exact_at_the_bound(spark):
+    sets = {1: range(-5, 85), 2: range(5, 85), 3: range(-5, 67), 4: range(-5, 66), 5: [], 6: [], 7: range(1000, 1090)}
+    df = spark.createDataFrame([(i, bytes([i]), list(s)) for i, s in sets.items()], "id long, digest binary, s array<long>")
+    pairs = spark.createDataFrame([(a, bytes([a]), b, bytes([b])) for a in sets for b in sets if a < b], "a long, da binary, b long, db binary")
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert want == {(1, 2), (1, 3), (3, 4)}
+    found = minhash_dedup.verified(pairs, df, 80)
+    assert {(r["a"], r["b"]) for r in found.collect()} == want
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()  # no batches of pairs: a row at a time
+
+
 def test_loser_tree_merges():
     r = random.Random(2)
     for k in range(9):
