@@ -51,10 +51,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends here and outlives lost executors.
 
-    tasks: as many tasks write at most, for tables whose rows are few beside the number of shuffle partitions. Each file
-    costs its executor three processes where Hadoop has no native library (it sets a local file's mode by chmod).
+    tasks: rows are dealt out to so many writers, for tables whose rows are few beside the number of tasks that make them.
+    Each file costs its executor processes where Hadoop has no native library (it sets a local file's mode by chmod).
     """
-    (df.coalesce(tasks) if tasks else df).write.parquet(path := new_path(df.sparkSession, name))
+    (df.repartition(tasks) if tasks else df).write.parquet(path := new_path(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

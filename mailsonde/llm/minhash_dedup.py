@@ -27,7 +27,7 @@ from .graph import components
 BANDS, ROWS = 30, 5
 #: Shingles of a chunk of a bucket.
 GROUP = 400_000
-#: Documents for each task that writes a table of the steps after the signatures: 450 000 band keys, some 25 MB.
+#: Documents for each task that writes a table of the steps after the signatures: 450 000 band keys at most, some 25 MB.
 DOCS = 15_000
 _C1, _C2, _C3, _C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _U33, _U31 = np.uint64(33), np.uint64(31)
@@ -49,7 +49,7 @@ def _permute32(x: np.ndarray, m1: int, m2: int) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams; word hashes are remembered up to a bound."""
 
-    def __init__(self, n: int, split=space_words, room: int = 250_000):
+    def __init__(self, n: int, split=space_words, room: int = 50_000):
         import xxhash
 
         self.n, self.split, self.room, self.hash, self.known = n, split, room, xxhash.xxh3_64_intdigest, {}
@@ -227,8 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     allowed = F.col("lo") * 100 >= F.col("hi") * percent
     tried = stored(star.where((F.col("a") < F.col("b")) & allowed).select("a", "da", "b", "db").distinct(), "star-pairs", few)
 
-    ends = broadcast_if_small(members.select("rep").distinct())
-    sets = stored(shingle_sets(text_rows.join(ends, text_rows["id"] == ends["rep"], "left_semi"), n, by_letters), "sets", few)
+    ends = members.select("rep").distinct()
+    sets = stored(shingle_sets(text_rows.join(ends, text_rows["id"] == ends["rep"], "left_semi"), n, by_letters), "sets")
     # An id with several texts joins their classes.
     several = sig.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id")
     several = stored(several, "ids-of-several-texts", few)
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     placed = members.join(found, members["rep"] == found["id"], "left").select("key", "rep", "digest", "n", F.coalesce("component", "rep").alias("k"))
     split = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.ceil(F.sum("n") / GROUP).cast("int").alias("chunks")).where("lo < hi").select("key", "chunks")
-    more = stored(links_within(placed.join(split, "key"), sets, percent), "more-links")
+    more = stored(links_within(placed.join(split, "key"), sets, percent), "more-links", few)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

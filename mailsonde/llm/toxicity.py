@@ -134,7 +134,7 @@ def fit(rows: list[tuple[bytes | None, int]], share: float, steps: int = 150, ra
 class Tagger:
     """Marginals and scores by a model; remembers words' weights up to a bound."""
 
-    def __init__(self, model: Model, room: int = 500_000):
+    def __init__(self, model: Model, room: int = 100_000):
         self.model, self.room, self.known = model, room, {}
         self.trans = np.exp(np.array(model.trans).reshape(2, 2))
         plain = self.trans @ np.diag([1.0, np.exp(model.bias)])

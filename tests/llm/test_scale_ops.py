@@ -237,7 +237,7 @@ def test_bucket_comparison_is_whole(spark, rnd, monkeypatch):
 def test_steps_after_the_signatures_write_few_files(spark, make):
     """A table of few rows is one file, whatever the number of shuffle partitions: each file costs its executor processes.
 
-    Signatures and the comparison within buckets stay as parallel as their inputs.
+    Signatures and sets are as many files as the tasks that make them.
     """
     base = [[f"{k}{i}" for i in range(40)] for k in range(9)]
     rows = [(10 * k + v, " ".join([*base[k][: 4 * v], f"z{v}", *base[k][4 * v + 1 :]])) for k in range(9) for v in range(9)]
@@ -252,7 +252,7 @@ def test_steps_after_the_signatures_write_few_files(spark, make):
             spark.conf.set(k, v)
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i // 10 * 10) for i, _ in rows}
     files = {p.name: len(list(p.glob("part-*"))) for p in set(here.glob("*")) - before}
-    assert len(files) > 10 and all(n == 1 for name, n in files.items() if not name.startswith(("signatures", "more-links"))), files
+    assert len(files) > 10 and all(n == 1 for name, n in files.items() if not name.startswith(("signatures", "sets"))), files
 
 
 def test_verified_is_exact_at_the_bound(spark):
