@@ -13,6 +13,7 @@ import heapq
 import ipaddress
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,6 +28,8 @@ BUFFER, OUT_OF_ORDER, HANDSHAKE = 8 << 20, 2 << 20, 64 << 10
 HALF = 1 << 31
 DATAGRAMS = "capture_id string, index long, ts double, vlan int, src string, dst string, proto int, ident long, offset int, more boolean, body binary"
 CLOCK_SPAN = 1 << 20
+#: Rows that are read, or sent on, together.
+TOGETHER = 500
 SEGMENTS = "capture_id string, index long, ts double, vlan int, src string, sport int, dst string, dport int, seq long, flags int, body binary"
 
 
@@ -292,16 +295,25 @@ def reassembled(segs: DataFrame, ports=MAIL_PORTS, limit: int = BUFFER, compat:
     a, b = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port")), F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
     keyed = segs.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b))
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.drop_columns(["lo", "hi"]).to_pylist()
-        found = [{"capture_id": rows[0]["capture_id"], **s} for s in rebuild(rows, ports, limit)]
-        return pa.Table.from_pylist(found, schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        slices = (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER))
+        for key, rows in groupby((r for b in slices for r in b.to_pylist()), lambda r: (r["capture_id"], r.pop("lo"), r.pop("hi"), r["vlan"])):
+            for s in rebuild(list(rows), ports, limit):
+                found.append({"capture_id": key[0], **s})
+                size += len(s["c2s_payload"]) + len(s["s2c_payload"])
+            if len(found) >= TOGETHER or size >= HANDSHAKE * 16:
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return keyed.groupBy("capture_id", "lo", "hi", "vlan").applyInArrow(run, schema)
+    key = ("capture_id", "lo", "hi", "vlan")  # put in order, a flow's rows follow each other: many flows are a batch, one is held at a time
+    return keyed.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
 def sessions(packets: DataFrame, ports=MAIL_PORTS, handshake_only: bool = False, compat: bool = False) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from mailsonde.functions import signatures
 from mailsonde.operators import chains, relational, revocation
+from mailsonde.plans import chain_queries, rules
 from mailsonde.plans import made_certs as M
-from mailsonde.plans import rules
 from mailsonde.sources.trust import read_certificates
 
 DAY = 86_400.0
@@ -257,3 +257,21 @@ def test_revocation(spark, tmp_path):
         _, status, finding = cases[r["id"]]
         crl = "REVOKED" if status == "UNKNOWN" else "UNKNOWN"
         assert (r["chain"]["ocsp_status"], r["chain"]["crl_status"], r["chain"]["findings"]) == (status, crl, [finding] if finding else []), r["id"]
+
+
+def test_power_by_primes():
+    for owner in ("customers", "NATION 3"):
+        n, d = M.key(owner)
+        assert all(M.power(owner, x) == pow(x, d, n) for x in (0, 1, n - 1, M.primes(owner)[0], M.primes(owner)[1] * 5, 2**500 + 12345))
+
+
+def test_chains_are_made_by_many_tasks_and_once(spark, tmp_path):
+    """A table in one file is not one task's work, customers without a chain or of an unknown nation stay, and packets are made once."""
+    spark.createDataFrame([(i, f"r{i}") for i in range(5)], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(i, f"n{i}", i % 5) for i in range(25)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(i, 99 if i == 30 else i % 25) for i in range(60)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    shown, _ = chain_queries.hierarchy(spark, str(tmp_path))
+    assert len(shown.inputFiles()) >= 4 and not any("customer.parquet" in x for x in shown.inputFiles())
+    assert {r[0]: r[1] for r in shown.select("c_custkey", F.size("certificates")).collect()} == {i: None if i % 29 == 0 or i == 30 else 1 if i % 17 == 3 else 2 for i in range(60)}
+    out = chain_queries.captured_chains(spark, str(tmp_path))
+    assert out.count() == 60 and "MapInArrow" not in out._jdf.queryExecution().toString()

@@ -224,3 +224,27 @@ def test_udp_and_quic(spark):
     (found,) = detectors.quic_findings(flow.udp_payloads(p)).collect()
     assert (found["server_ip"], found["server_port"], found["packets"], found["first_seen"], found["finding"]["evidence"]) == (W.SERVER, 25, 3, -5.0, "port 25, first byte 0xff")
     assert detectors.quic_findings(flow.udp_payloads(p.limit(0))).count() == 0 and flow.sessions(p).count() == 1
+
+
+@pytest.mark.parametrize("together", [1, 3, 500])
+def test_flows_across_batches(spark, monkeypatch, together):
+    """Flows that begin and end anywhere in a batch, or fill several, are rebuilt as each alone is; many of them are one batch's work."""
+    monkeypatch.setattr(flow, "TOGETHER", together)
+    rows = []
+    for c in range(12):
+        for r in segs([(0, b"ab" * c), (2 * c, b"x"), (2 * c + 1, b"yz")]):
+            back = {**r, "src": W.SERVER, "sport": 25, "dst": W.CLIENT, "dport": 40000 + c // 3, "seq": r["seq"] + 7}
+            rows += [{**r, "capture_id": f"c{c % 3}", "sport": 40000 + c // 3, "vlan": None if c % 2 else 7}, {**back, "capture_id": f"c{c % 3}", "vlan": None if c % 2 else 7}]
+    rows = [{**r, "index": i, "ts": float(i)} for i, r in enumerate(rows)]
+    df = spark.createDataFrame([tuple(r[x.split()[0]] for x in flow.SEGMENTS.split(", ")) for r in rows], flow.SEGMENTS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        out = flow.reassembled(df.repartition(3))
+        got = sorted((r["capture_id"], str(r["vlan_id"]), r["client_port"], bytes(r["c2s_payload"]), bytes(r["s2c_payload"]), r["first_seen"], r["last_seen"]) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for key in {(r["capture_id"], max(r["sport"], r["dport"]), r["vlan"]) for r in rows}:
+        for s in flow.rebuild([r for r in rows if (r["capture_id"], max(r["sport"], r["dport"]), r["vlan"]) == key]):
+            want.append((key[0], str(s["vlan_id"]), s["client_port"], s["c2s_payload"], s["s2c_payload"], s["first_seen"], s["last_seen"]))
+    assert got == sorted(want) and len(got) == 12 and "FlatMapGroups" not in out._jdf.queryExecution().toString()
