@@ -275,3 +275,19 @@ def test_chains_are_made_by_many_tasks_and_once(spark, tmp_path):
     assert {r[0]: r[1] for r in shown.select("c_custkey", F.size("certificates")).collect()} == {i: None if i % 29 == 0 or i == 30 else 1 if i % 17 == 3 else 2 for i in range(60)}
     out = chain_queries.captured_chains(spark, str(tmp_path))
     assert out.count() == 60 and "MapInArrow" not in out._jdf.queryExecution().toString()
+
+
+def test_a_chain_of_many_sessions_is_carried_once(spark, tmp_path):
+    """Sessions of certificate_chains name their chain, they don't hold its certificates; verdicts are those of sessions that do."""
+    spark.createDataFrame([(i, f"r{i}") for i in range(5)], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(i, f"n{i}", i % 5) for i in range(25)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(i, i % 25) for i in range(60)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.range(300).selectExpr("id as o_orderkey", "id % 62 as o_custkey", "timestamp_seconds(694224000 + id * 86400 * 8) as o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    out = chain_queries.certificate_chains(spark, str(tmp_path))
+    assert "certificates#" not in out._jdf.queryExecution().optimizedPlan().toString()
+    shown, store = chain_queries.hierarchy(spark, str(tmp_path))
+    s = orders.join(shown, F.col("o_custkey") == F.col("c_custkey")).withColumn("first_seen", F.col("o_orderdate").cast("double"))
+    want = chains.validated(s, store, "certificates").select("o_orderkey", "chain.is_valid", "chain.chain_length", "chain.anchor_dn", "chain.anchor_source", F.array_join("chain.errors", ","), "chain.interception")
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted(map(tuple, want.collect()), key=str) and len(got) == sum(i % 62 < 60 for i in range(300)) and len({x[5] for x in got}) > 4
