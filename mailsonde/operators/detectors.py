@@ -115,23 +115,36 @@ def canonical_references(df: DataFrame, names: list[str], lists: list[str]) -> D
     return out
 
 
+def dane_data(selector: Column, matching: Column, cert: Column, spki: Column) -> Column:
+    """What a matching TLSA record holds, in hex: selector 0 is the certificate, 1 its key; matching 0 whole, 1 SHA-256, 2 SHA-512; null for others."""
+    source = F.when(selector == 0, cert).when(selector == 1, spki)
+    return F.when(matching == 0, F.lower(F.hex(source))).when(matching == 1, F.sha2(source, 256)).when(matching == 2, F.sha2(source, 512))
+
+
 def dane_match(usage_selector: Column, matching: Column, data: Column, cert: Column, spki: Column) -> Column:
-    """TLSA: selector 0 is the certificate, 1 its key; matching 0 whole, 1 SHA-256, 2 SHA-512. data in hex."""
-    source = F.when(usage_selector == 0, cert).when(usage_selector == 1, spki)
-    have = F.when(matching == 0, F.lower(F.hex(source))).when(matching == 1, F.sha2(source, 256)).when(matching == 2, F.sha2(source, 512))
-    return F.coalesce(have == F.lower(data), F.lit(False))
+    """Whether a TLSA record is of this certificate or key, see dane_data(). data in hex."""
+    return F.coalesce(dane_data(usage_selector, matching, cert, spki) == F.lower(data), F.lit(False))
 
 
 def dane(sessions: DataFrame, records: DataFrame, host: str, port: str, cert: str, spki: str, transport: str = "tcp") -> DataFrame:
     """sessions with dane: struct(n_records, n_matching) of the TLSA records for their host, port and transport.
 
-    records: (domain, port, protocol, selector, matching, data). They are gathered per name before the join, so that each
-    session stays one row however many records it has; without records both counts are 0. Names compare trimmed and in
-    any case.
+    records: (domain, port, protocol, selector, matching, data). They are counted before the join, all of a name and equal
+    ones of a name, and what a session's certificate and key come to is looked up among the latter by an equi-join: each
+    session stays one row, and none is held against a name's records one by one. Without records both counts are 0. Names
+    compare trimmed and in any case.
     """
     clean = lambda c: F.lower(F.trim(F.col(c)))
-    r = records.where(F.lower("protocol") == transport).groupBy(clean("domain").alias("__host"), F.col("port").alias("__port")).agg(F.collect_list(F.struct("selector", "matching", "data")).alias("__records"))
-    joined = sessions.join(r, (clean(host) == F.col("__host")) & (F.col(port) == F.col("__port")), "left")
-    found = F.coalesce("__records", F.array().cast("array<struct<selector:int,matching:int,data:string>>"))
-    good = F.filter(found, lambda x: dane_match(x["selector"], x["matching"], x["data"], F.col(cert), F.col(spki)))
-    return joined.withColumn("dane", F.struct(F.size(found).alias("n_records"), F.size(good).alias("n_matching"))).drop("__host", "__port", "__records")
+    r = records.where(F.lower("protocol") == transport).select(clean("domain").alias("__host"), F.col("port").alias("__port"), "selector", "matching", F.lower("data").alias("__data"))
+    there = (clean(host) == F.col("__host")) & (F.col(port) == F.col("__port"))
+    out = sessions.join(r.groupBy("__host", "__port").agg(F.count("*").alias("__all")), there, "left").drop("__host", "__port")
+    kinds = sorted(r.where(F.col("selector").isin(0, 1) & F.col("matching").isin(0, 1, 2)).select("selector", "matching").distinct().collect())  # six at most
+    good = []
+    for selector, matching in kinds:
+        n = f"__{selector}_{matching}"
+        alike = r.where((F.col("selector") == selector) & (F.col("matching") == matching)).groupBy("__host", "__port", "__data").agg(F.count("*").alias(n))
+        have = dane_data(F.lit(selector), F.lit(matching), F.col(cert), F.col(spki))
+        out = out.join(alike, there & (have == F.col("__data")), "left").drop("__host", "__port", "__data")
+        good.append(n)
+    total = lambda ns: sum((F.coalesce(n, F.lit(0)) for n in ns), F.lit(0)).cast("int")
+    return out.withColumn("dane", F.struct(total(["__all"]).alias("n_records"), total(good).alias("n_matching"))).drop("__all", *good)

@@ -105,3 +105,26 @@ def test_tlsa_records_count_per_name_port_and_transport(spark):
     s = spark.createDataFrame([(1, " mx.ORG", 25), (2, "mx.org", 587), (3, "other.org", 25), (4, None, 25)], "id int, host string, port int").withColumns({"c": F.lit(b"c"), "k": F.lit(b"k")})
     got = {r["id"]: tuple(r["dane"]) for r in detectors.dane(s, records, "host", "port", "c", "k").collect()}
     assert got == {1: (3, 1), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
+
+
+def test_tlsa_records_are_not_met_one_by_one(spark):
+    """A name's many records are counted before the join: all kinds, doubled ones, nulls, sessions that are equal, columns with the records' names."""
+    from mailsonde.operators import detectors
+
+    digests = {0: lambda b: b.hex(), 1: lambda b: hashlib.sha256(b).hexdigest(), 2: lambda b: hashlib.sha512(b).hexdigest()}
+    certs = [b"c%d" % (i % 40) for i in range(200)] + [None]
+    spkis = [b"k%d" % (i % 30) for i in range(200)] + [b"k1"]
+    records = [(f"h{i % 2}", 25, "TCP", i % 3, i // 3 % 4, None if i % 11 == 0 else (digests.get(i // 3 % 4, digests[0]))([b"c%d", b"k%d"][i % 2] % (i % 50)).upper()) for i in range(400)] * 2
+    r = spark.createDataFrame(records, "domain string, port int, protocol string, selector int, matching int, data string")
+    s = spark.createDataFrame([(f"h{i % 3}", 25, c, k, "own") for i, (c, k) in enumerate(zip(certs, spkis, strict=True))] * 2, "host string, at int, c binary, k binary, selector string")
+    out = detectors.dane(s, r, "host", "at", "c", "k")
+    assert out.columns == [*s.columns, "dane"] and "collect_list" not in out._jdf.queryExecution().toString()
+
+    def want(host, c, k):
+        mine = [x for x in records if x[0] == host]
+        source = {0: c, 1: k}
+        return len(mine), sum(x[3] in source and x[4] in digests and source[x[3]] is not None and x[5] is not None and digests[x[4]](source[x[3]]) == x[5].lower() for x in mine)
+
+    b = lambda x: None if x is None else bytes(x)
+    got = [(tuple(x["dane"]), want(x["host"], b(x["c"]), b(x["k"]))) for x in out.collect()]
+    assert len(got) == 2 * len(certs) and all(a == w for a, w in got) and len({a for a, _ in got}) > 3
